@@ -95,7 +95,8 @@ def entity_links(pairs: DataFrame, lists: DataFrame, entities: DataFrame, anchor
     """(a, b): the distinct links of both match tables between two different known ids, a < b.
 
     Ids count after trimming and lower-casing; links with null, unknown or equal ids are left out, whatever their score.
-    Ids with more than ``hot`` links are checked by a broadcast of at most 2 * links / hot ids, all others by a semi-join.
+    Ids with more than ``hot`` links and more than a two-hundredth of all are at most 400: those among them that are known
+    go into the plan as literals. All other ids are checked by a semi-join.
     """
     raw = pairs.select(_clean(F.col("eid1")).alias("x"), _clean(F.col("eid2")).alias("y")).unionByName(
         lists.select("eid", F.explode("similar_entities").alias("s")).select(_clean(F.col("eid")).alias("x"), _clean(F.col("s.eid")).alias("y"))
@@ -103,12 +104,13 @@ def entity_links(pairs: DataFrame, lists: DataFrame, entities: DataFrame, anchor
     e = raw.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("x is not null and y is not null and x <> y").distinct()
     e = materialize(e, "p1raw")
     known = entities.select(_clean(F.col("eid")).alias("k")).unionByName(anchors.select(_clean(F.col("eid")).alias("k"))).where("k is not null").distinct()
-    many = e.select(F.col("a").alias("k")).unionByName(e.select(F.col("b").alias("k"))).groupBy("k").count().where(F.col("count") > hot).select("k")
-    many = materialize(many.join(known.withColumn("ok", F.lit(True)), "k", "left"), "p1hot")
+    least = max(hot, e.count() // 200)
+    many = e.select(F.col("a").alias("k")).unionByName(e.select(F.col("b").alias("k"))).groupBy("k").count().where(F.col("count") > least).select("k")
+    top = sorted(r.k for r in many.collect())  # at most 400: an edge has two ends
+    fine = sorted(r.k for r in known.where(F.col("k").isin(top)).collect()) if top else []
     for c in ("a", "b"):
-        flag = e.join(F.broadcast(many.select(F.col("k").alias(c), F.coalesce("ok", F.lit(False)).alias("ok"))), c, "left")
-        rest = flag.where("ok is null").drop("ok").join(known.select(F.col("k").alias(c)), c, "left_semi")
-        e = flag.where("ok").drop("ok").unionByName(rest)
+        rest = e.where(~F.col(c).isin(top)).join(known.select(F.col("k").alias(c)), c, "left_semi")
+        e = e.where(F.col(c).isin(fine)).unionByName(rest.select(*e.columns)) if top else rest
     return e.select("a", "b")
 
 

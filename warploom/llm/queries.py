@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import p1_groups
+from . import p1_groups, p8_leaks
 
 
 def queries() -> dict:
     return {
         "p1_found": p1_groups.found,
         "p1_group_sizes": p1_groups.group_sizes,
+        "p8_found": p8_leaks.found,
+        "p8_report": p8_leaks.report,
     }
 
 
