@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import p1_groups, p8_leaks
+from . import p1_groups, p6_split, p7_pack, p8_leaks
 
 
 def queries() -> dict:
     return {
         "p1_found": p1_groups.found,
         "p1_group_sizes": p1_groups.group_sizes,
+        "p6_found": p6_split.found,
+        "p6_pieces": p6_split.pieces,
+        "p6_report": p6_split.report,
+        "p7_placement": p7_pack.placement,
+        "p7_fill": p7_pack.fill,
+        "p7_tokens_placed": p7_pack.tokens_placed,
         "p8_found": p8_leaks.found,
         "p8_report": p8_leaks.report,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": p6_split.FOUND_SQL, "p7_tokens_placed": p7_pack.TOKENS_SQL}
