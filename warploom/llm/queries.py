@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import p1_groups, p6_split, p7_pack, p8_leaks
+from . import p1_groups, p3_splits, p5_neighbours, p6_split, p7_pack, p8_leaks
 
 
 def queries() -> dict:
     return {
         "p1_found": p1_groups.found,
         "p1_group_sizes": p1_groups.group_sizes,
+        "p3_found": p3_splits.found,
+        "p3_report": p3_splits.report,
+        "p5_found": p5_neighbours.found,
+        "p5_searched": p5_neighbours.searched,
         "p6_found": p6_split.found,
         "p6_pieces": p6_split.pieces,
         "p6_report": p6_split.report,
