@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import p1_groups, p3_splits, p5_neighbours, p6_split, p7_pack, p8_leaks
+from . import p1_groups, p2_pairs, p3_splits, p5_neighbours, p6_split, p7_pack, p8_leaks, p9_abuse
 
 
 def queries() -> dict:
     return {
         "p1_found": p1_groups.found,
         "p1_group_sizes": p1_groups.group_sizes,
+        "p2_found": p2_pairs.found,
+        "p2_report": p2_pairs.report,
         "p3_found": p3_splits.found,
         "p3_report": p3_splits.report,
         "p5_found": p5_neighbours.found,
@@ -21,6 +23,9 @@ def queries() -> dict:
         "p7_tokens_placed": p7_pack.tokens_placed,
         "p8_found": p8_leaks.found,
         "p8_report": p8_leaks.report,
+        "p9_found": p9_abuse.found,
+        "p9_scored": p9_abuse.scored,
+        "p9_rates": p9_abuse.rates,
     }
 
 
