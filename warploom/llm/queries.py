@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import p1_groups, p2_pairs, p3_splits, p5_neighbours, p6_split, p7_pack, p8_leaks, p9_abuse
+from . import p1_groups, p2_pairs, p3_splits, p4_names, p5_neighbours, p6_split, p7_pack, p8_leaks, p9_abuse
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "p2_report": p2_pairs.report,
         "p3_found": p3_splits.found,
         "p3_report": p3_splits.report,
+        "p4_found": p4_names.found,
+        "p4_report": p4_names.report,
         "p5_found": p5_neighbours.found,
         "p5_searched": p5_neighbours.searched,
         "p6_found": p6_split.found,
