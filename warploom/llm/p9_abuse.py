@@ -33,6 +33,9 @@ FIT_DOCS, DIM, HIDDEN, TRIPLES = 1_200, 16, 16, 4_096
 #: A document holds a category from this score on.
 THRESHOLD = 0.85
 
+#: Windows scored at once: few enough that a step's numbers stay in the processor's cache.
+BATCH = 1_024
+
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[*@$](?=[\w*@$]))*")
 _APART = re.compile(r"(?<![\w*])(?:[^\W_][ .\-_]){2,}[^\W_](?![\w*])")
 #: Digits and marks that stand for letters.
@@ -118,18 +121,25 @@ def _gru(x: np.ndarray, u: np.ndarray, steps: range, keep: list | None = None) -
         np.tanh(c, out=c)
         if keep is not None:
             keep.append((t, h, z, r, c))
-        h = h + z * (c - h)
+            h = h + z * (c - h)
+        else:
+            c -= h
+            c *= z
+            c += h
+            h = c
         out[t] = h
     return out
 
 
 def _pool(s: np.ndarray, mask: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Attention pooling of states (time, rows, 2 hidden) over the times where mask is true."""
-    a = np.tanh(s @ p["att"])
+    a = s @ p["att"]
+    np.tanh(a, out=a)
     e = np.where(mask, a @ p["attv"], np.float32(-30))
     e = np.exp(e - e.max(axis=0))
     w = e / e.sum(axis=0)
-    return np.einsum("tr,trh->rh", w, s), w, a
+    # a row's weights times its states, as one product of matrices per row
+    return np.matmul(w.T[:, None, :], s.transpose(1, 0, 2))[:, 0], w, a
 
 
 def forward(xf: np.ndarray, xb: np.ndarray, mask: np.ndarray, p: dict) -> np.ndarray:
@@ -368,6 +378,9 @@ class Scorer:
         self.tf[:n], self.tb[:n] = e @ p["wf"] + p["cf"], e @ p["wb"] + p["cb"]
         self.ids: dict[str, int] = dict(model["known"])
         self.base = n
+        # a new word's input parts are the mean of those of its triples and a constant
+        self.part = np.concatenate([p["char"] @ p["wf"], p["char"] @ p["wb"]], axis=1)
+        self.rest = np.concatenate([p["word"][REST] @ p["wf"] + p["cf"], p["word"][REST] @ p["wb"] + p["cb"]])
 
     def number(self, w: str) -> int:
         x = self.lex.plain(w)
@@ -375,9 +388,10 @@ class Scorer:
         if i is None:
             if self.n == len(self.tf):
                 self.tf, self.tb = np.concatenate([self.tf, np.empty_like(self.tf)]), np.concatenate([self.tb, np.empty_like(self.tb)])
-            e = self.p["word"][REST] + self.p["char"][triples(x)].mean(axis=0)
+            t = triples(x)
+            e = self.part[t].sum(axis=0) / len(t) + self.rest
             i = self.n
-            self.tf[i], self.tb[i] = e @ self.p["wf"] + self.p["cf"], e @ self.p["wb"] + self.p["cb"]
+            self.tf[i], self.tb[i] = e[: 3 * HIDDEN], e[3 * HIDDEN :]
             self.n += 1
             self.ids[x] = i
         self.ids[w] = i
@@ -402,11 +416,11 @@ class Scorer:
         k = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(n_win)[:-1]], n_win)
         begin, end = first[doc] + k * STEP, (first + size)[doc]
         out = np.zeros((len(texts), 3), np.float32)
-        for b in range(0, len(doc), 4096):
-            at = begin[b : b + 4096] + np.arange(WIDTH)[:, None]
-            mask = at < end[b : b + 4096]
+        for b in range(0, len(doc), BATCH):
+            at = begin[b : b + BATCH] + np.arange(WIDTH)[:, None]
+            mask = at < end[b : b + BATCH]
             ids = np.where(mask, flat[np.minimum(at, len(flat) - 1)], PAD)
-            np.maximum.at(out, doc[b : b + 4096], forward(self.tf[ids], self.tb[ids], mask, self.p))
+            np.maximum.at(out, doc[b : b + BATCH], forward(self.tf[ids], self.tb[ids], mask, self.p))
         return out
 
 
