@@ -78,7 +78,7 @@ def shapley(values: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     weight = F.array(*[F.array(*[F.lit(factorial(s) * factorial(n - s - 1) / factorial(n) if s < n else 0.0) for s in range(MAX_SHAPLEY)]) for n in range(1, MAX_SHAPLEY + 1)])
     n = sizes.withColumn("n", F.when(F.col("n") <= MAX_SHAPLEY, F.col("n")).otherwise(F.raise_error(F.lit("too many steps")).cast("int")))
-    sets = n.select("episode", "n", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("n").cast("int")) - 1)).alias("mask"))
+    sets = n.select("episode", "n", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, cast(n as int))") - 1)).alias("mask"))
     pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).where(F.expr("(mask & shiftleft(1, i)) = 0"))
     v = values.select("episode", "mask", "v")
     r = pairs.withColumn("with", F.expr("mask | shiftleft(1, i)")).join(v, ["episode", "mask"], "left").withColumnRenamed("v", "v0")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scores import jaccard
+from ..session import materialize
 from .frame import numbered
 
 
@@ -29,6 +30,10 @@ def _id(prefix: str, n: str) -> F.Column:
     return F.concat(F.lit(prefix + "_"), F.lpad(F.col(n).cast("string"), 6, "0"))
 
 
+def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    return materialize(numbered(materialize(df, "graph"), order, name), "graph")
+
+
 def build(records: DataFrame, order: str = "doc_id", titles: bool = True) -> Graph:
     """The graph of records (doc_id, title, text), numbered in the order of ``order``.
 
@@ -36,9 +41,10 @@ def build(records: DataFrame, order: str = "doc_id", titles: bool = True) -> Gra
     mentions of all texts. Names of the same letters and digits are one entity; its canonical form is the one seen first.
     """
     s = records.withColumn("s", T.sentences("text")).where(F.size("s") > 0)
-    p = numbered(s.select(F.col(order).alias("_o"), "doc_id", F.coalesce("title", F.lit("")).alias("title"), T.normalize_ws("text").alias("text"), "s"), ["_o"], "pn")
+    # each numbering reads its input twice: what it numbers is written once to the shared folder
+    p = _numbered(s.select(F.col(order).alias("_o"), "doc_id", F.coalesce("title", F.lit("")).alias("title"), T.normalize_ws("text").alias("text"), "s"), ["_o"], "pn")
     # a passage's first sentence number is the number of sentences of all passages before it: one running sum over partitions
-    sized = numbered(p.select("pn", F.posexplode("s").alias("pos", "sentence"), "doc_id", "title"), ["pn", "pos"], "sn")
+    sized = _numbered(p.select("pn", F.posexplode("s").alias("pos", "sentence"), "doc_id", "title"), ["pn", "pos"], "sn")
     sentences = sized.select(_id("s", "sn").alias("sid"), _id("p", "pn").alias("pid"), "doc_id", "title", F.col("sentence").alias("text"), "pos", "pn", "sn")
     ids = sentences.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: x["sid"]).alias("sent_ids"))
     passages = p.select(_id("p", "pn").alias("pid"), "doc_id", "title", "text").join(ids, "pid")
@@ -48,19 +54,24 @@ def build(records: DataFrame, order: str = "doc_id", titles: bool = True) -> Gra
         named = sentences.where((F.col("pos") == 0) & (F.trim("title") != ""))
         body = body.unionByName(named.select(F.lit(1).alias("phase"), F.col("sn").alias("at"), F.lit(0).alias("k"), "sid", "pid", T.normalize_ws("title").alias("surface"), F.lit("ENTITY").alias("label")))
     seen = F.struct("phase", "at", "k")
-    m = body.withColumn("key", T.identity_key("surface")).where("key <> ''").withColumn("seen", seen)
+    m = materialize(body.withColumn("key", T.identity_key("surface")).where("key <> ''").withColumn("seen", seen), "graph")
     forms = m.groupBy("key", "surface").agg(F.min("seen").alias("f"))
     labels = m.groupBy("key", "label").agg(F.min("seen").alias("f"), F.first(T.label_rank("label")).alias("rank"))
     fl = forms.groupBy("key").agg(F.min("f").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("f", "surface"))), lambda x: x["surface"]).alias("surface_forms"))
     ll = labels.groupBy("key").agg(F.min_by("label", F.struct("rank", "label")).alias("label"), F.transform(F.array_sort(F.collect_list(F.struct("f", "label"))), lambda x: x["label"]).alias("labels"))
-    reg = numbered(fl.join(ll, "key").withColumn("canonical", T.canonical_entity(F.get("surface_forms", F.lit(0)))), ["first"], "en").withColumn("eid", _id("e", "en"))
+    reg = _numbered(fl.join(ll, "key").withColumn("canonical", T.canonical_entity(F.get("surface_forms", F.lit(0)))), ["first"], "en").withColumn("eid", _id("e", "en"))
     entities = reg.select("eid", "canonical", "label", "labels", "surface_forms")
     once = m.groupBy("key", "sid", "pid", "surface").agg(F.min_by("label", "seen").alias("label"), F.min("seen").alias("seen"))
-    full = numbered(once.join(reg.select("key", "eid", "canonical"), "key"), ["seen", "surface"], "mn")
+    full = _numbered(once.join(reg.select("key", "eid", "canonical"), "key"), ["seen", "surface"], "mn")
     mentions = full.select(_id("m", "mn").alias("mid"), "pid", "sid", "eid", "surface", "canonical", "label")
     return Graph(passages, sentences.select("sid", "pid", "doc_id", "title", "text", "pos"), entities, mentions, adjacency(sentences))
 
 
+def settled(g: Graph) -> Graph:
+    """The same graph with every table written once to the shared folder, for plans that read it many times."""
+    return Graph(*[materialize(t, "graph") if t is not None else None for t in (g.passages, g.sentences, g.entities, g.mentions, g.adjacent, g.synonyms)])
+
+
 def adjacency(sentences: DataFrame) -> DataFrame:
     """An undirected edge between every sentence and the next of its passage."""
     w = Window.partitionBy("pid").orderBy("pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["advantage_plans", "frame_plans"]
+MODULES: list[str] = ["advantage_plans", "frame_plans", "corpus_plans", "search_plans", "eval_plans", "credit_plans", "nav_plans"]
 
 
 def queries() -> dict[str, Callable]:
