@@ -107,13 +107,18 @@ def display_line(title: str | Column, text: str | Column) -> Column:
     return F.when((a == "") | F.startswith(F.lower(b), F.lower(a)), b).otherwise(F.concat(a, F.lit(": "), b))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def last_answer(c: str | Column) -> Column:
     """The text of the last <answer> element, trimmed; null if there is none."""
-    return F.trim(F.try_element_at(F.regexp_extract_all(as_col(c), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
+    return strip(F.try_element_at(F.regexp_extract_all(as_col(c), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
 
 
 def first_answer(c: str | Column) -> Column:
-    return F.trim(F.try_element_at(F.regexp_extract_all(as_col(c), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(1)))
+    return strip(F.try_element_at(F.regexp_extract_all(as_col(c), F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(1)))
 
 
 def judged_answer(c: str | Column) -> Column:

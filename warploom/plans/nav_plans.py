@@ -75,7 +75,7 @@ def errors_run(spark, d):
 
 
 def _stream(spark, d):
-    return spark.readStream.schema(_events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return spark.readStream.schema(_events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _paths(spark):
@@ -93,7 +93,7 @@ def stream_once(spark, d):
 
 def stream_sessions(spark, d):
     a = _stream(spark, d).select(F.col("user_id").cast("string").alias("session"), "ts", F.expr(ACTION).alias("action"))
-    return S.run_to_table(S.session_events(a), *_paths(spark))
+    return S.run_to_table(S.session_events(a, timeout_ms=None), *_paths(spark))
 
 
 def queries():

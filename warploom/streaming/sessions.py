@@ -16,10 +16,11 @@ from ..operators.navigation import Episode, World, step
 OUT = "session string, turn int, event string, valid boolean, new_ids array<string>, selected int, stopped boolean"
 
 
-def session_events(actions: DataFrame, world: dict[str, World] | None = None, timeout_ms: int = 3_600_000) -> DataFrame:
+def session_events(actions: DataFrame, world: dict[str, World] | None = None, timeout_ms: int | None = 3_600_000) -> DataFrame:
     """One row per action of a stream (session string, ts timestamp, action string), with the state of its session kept.
 
-    Actions of one micro-batch are taken in the order of ts. A session that is idle longer than the timeout is dropped.
+    Actions of one micro-batch are taken in the order of ts. A session that is idle longer than the timeout is dropped; a
+    run over a bounded source must have no timeout (None), since waiting for timeouts it would never end.
     ``world`` is what sessions can find; sessions that are not in it see nothing.
     """
     worlds = world or {}
@@ -35,10 +36,11 @@ def session_events(actions: DataFrame, world: dict[str, World] | None = None, ti
             out = step(episode, action or "", w)
             rows.append((key[0], episode.counts.get("valid_action_id_count", 0) + episode.counts.get("invalid_action_count", 0), out["event"], out["valid"], out["new"], len(episode.selected), episode.stopped))
         state.update((json.dumps(asdict(episode)),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=["session", "turn", "event", "valid", "new_ids", "selected", "stopped"])
 
-    return actions.groupBy("session").applyInPandasWithState(run, OUT, "episode string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return actions.groupBy("session").applyInPandasWithState(run, OUT, "episode string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
