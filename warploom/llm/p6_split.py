@@ -52,7 +52,7 @@ def cut_points(n_tok: int, limit: int, overlap: int, strength: list[int]) -> lis
     n = max(2, math.ceil((n_tok - overlap) / (limit - overlap)))
     while True:
         step = (n_tok - overlap) / n
-        reach = max(1, int(step * REACH))
+        reach = max(1, math.ceil(step * REACH))
         cuts, begin = [], 0
         for i in range(1, n):
             target = round(overlap + i * step)
