@@ -318,6 +318,13 @@ def make(docs: list[str], rng: np.random.Generator, per_form: int = 26) -> dict:
         for at in range(0, max(1, len(nums) - STEP), STEP):
             part = nums[at : at + WIDTH]
             ids.append(part + [PAD] * (WIDTH - len(part))), y.append([0.0] * 3), w.append(1.0)
+            # words that the few documents lack are no offence either: some windows again with words of mixed letters
+            if part and rng.random() < min(1.0, 150 / len(texts)):
+                part = list(part)
+                word = "".join(rng.permutation(list(context[rng.integers(len(context))] + context[rng.integers(len(context))])))[: int(rng.integers(2, 9))]
+                for k in rng.integers(len(part), size=int(rng.integers(1, len(part) + 1))) if rng.random() < 0.2 else rng.integers(len(part), size=3):
+                    part[k] = number(word)
+                ids.append(part + [PAD] * (WIDTH - len(part))), y.append([0.0] * 3), w.append(1.0)
     names = ["", "", *vocab, *spare]
     tr = [triples(x) for x in names]
     size = np.array([len(x) for x in tr])
