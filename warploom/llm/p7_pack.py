@@ -3,7 +3,8 @@
 Method: cost-balanced packing. A document of n tokens costs n + n * n / SQUARE (linear work plus attention). Documents go
 in descending order of their size to the sequence (container) of the lowest cost that still has room; a new container is
 opened only if none has room. The least containers that could hold all tokens are open from the start, so their costs
-stay balanced. Then the emptiest containers are dissolved as long as all their documents fit elsewhere (best fit).
+stay balanced. Then the emptiest containers are dissolved as long as all their documents fit elsewhere, and while there are
+more containers than the tokens need, those with most room are packed anew by best fit.
 
 A text longer than the capacity is cut into full containers and a rest that is packed like a document; every other
 text stays whole. Packing runs on shards of about ``shard_docs`` documents chosen by a hash of their id, each profile by
@@ -41,7 +42,8 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
                 cost, room = np.concatenate([cost, np.zeros(n)]), np.concatenate([room, np.zeros(n, dtype=np.int64)])
             k, room[n], n = n, capacity, n + 1
         where[i], room[k], cost[k] = k, room[k] - s, cost[k] + s + s * s / SQUARE
-    return _dissolve(sizes, where, room[:n].copy(), capacity)
+    where = _dissolve(sizes, where, room[:n].copy(), capacity)
+    return _repack(sizes, where, capacity, least)
 
 
 def _dissolve(sizes: np.ndarray, where: np.ndarray, room: np.ndarray, capacity: int) -> np.ndarray:
@@ -74,6 +76,43 @@ def _dissolve(sizes: np.ndarray, where: np.ndarray, room: np.ndarray, capacity:
     return np.unique(where, return_inverse=True)[1] if len(where) else where
 
 
+def best_fit(sizes: list[int], capacity: int) -> list[int]:
+    """Container of each item: by descending size into the fullest one that has room."""
+    free: list[tuple[int, int]] = []
+    where, n = [0] * len(sizes), 0
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        p = bisect_left(free, (sizes[i], -1))
+        if p < len(free):
+            r, k = free.pop(p)
+        else:
+            r, k, n = capacity, n, n + 1
+        insort(free, (r - sizes[i], k))
+        where[i] = k
+    return where
+
+
+def _repack(sizes: np.ndarray, where: np.ndarray, capacity: int, least: int) -> np.ndarray:
+    """While there are more containers than needed: packs the items of those with most room anew by best fit, of more and
+    more of them until some become free. Only what is packed anew loses the balance of costs."""
+    take = 0
+    while len(where):
+        load = np.bincount(where, sizes)
+        extra = len(load) - least
+        take = max(8, 4 * extra, take)
+        if extra <= 0 or take > 2 * len(load):
+            break
+        some = np.argsort(load, kind="stable")[:take]
+        rows = np.flatnonzero(np.isin(where, some))
+        new = np.array(best_fit(sizes[rows].tolist(), capacity))
+        if new.max() + 1 < len(some):
+            where = where.copy()
+            where[rows] = some[new]
+            where = np.unique(where, return_inverse=True)[1]
+        else:
+            take *= 2
+    return where
+
+
 SCHEMA = "profile string, shard int, container int, doc_id bigint, part int, tokens int, capacity int"
 
 
