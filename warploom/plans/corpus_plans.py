@@ -168,6 +168,10 @@ def oracle_sql():
         "junk_surfaces": f"with e as (select distinct eid, label, unnest(surface_forms) as surface from entity_store) select eid, surface, coalesce({junk}, false) as junk, coalesce({junk}, false) or coalesce(upper(trim(label)) in {val}, false) or coalesce(lower(trim(surface)) in {nat}, false) as bad_target from e",
         "entity_registry": f"with e as (select eid, label, case when len({_TOK % 'canonical'}) > 0 then array_to_string({_TOK % 'canonical'}, ' ') else lower(trim({_NORM % 'canonical'}, {edges})) end as key from entity_store where canonical is not null) select key, min(eid) as eid, count(distinct eid) as ids, arg_min(label, ({rank}, label)) as label from e group by key",
         "answer_normal_form": f"with x as (select distinct qa_id, unnest(golden_answers) as a from qa_train) select qa_id, a, {_NORM % answer} as normal from x",
+        "synonym_features": f"""with e as (select eid, {_TOK % 'canonical'} as raw from (select distinct on (eid) eid, coalesce(canonical, '') as canonical from entity_store)),
+            f as (select eid, raw, list_filter(raw, lambda t: t not in {_STOP}) as keep, array_to_string(raw, ' ') as spaced, array_to_string(raw, '') as compact from e)
+            select eid, array_to_string(list_sort(list_distinct(keep)), ' ') as tokens, array_to_string(list_sort(list_distinct(list_filter([spaced, compact], lambda k: k <> ''))), '|') as exact,
+            not (length(compact) <= 2 or coalesce(raw[-1] in {_STOP}, true) or (len(raw) <= 4 and len(list_distinct(raw)) < len(raw)) or len(keep) = 0) as usable from f""",
         "block_candidates": f"with t as (select distinct eid, unnest({_TOK % 'canonical'}) as key from {_ENT}), s as (select eid, key from t where key not in {_STOP}), r as (select * from s where key in (select key from s group by key having count(*) <= 40)) select a.eid, b.eid as other, count(*) as shared from r a join r b using (key) where a.eid < b.eid group by all",
         "coo_symmetric": "with e as (select eid1, eid2, max(round(score, 4)) as score from entity_to_synonym_entities where regexp_full_match(eid1, 'e_[0-9]+') and regexp_full_match(eid2, 'e_[0-9]+') and eid1 <> eid2 group by all), c as (select substr(eid1, 3)::bigint as a, substr(eid2, 3)::bigint as b, score::float as data from e), u as (select a as row, b as col, data from c union select b, a, data from c) select row, count(*) as n, round(sum(data::double), 3) as total from u group by row",
         "passage_entity_weight": "with n as (select data_source as pid, eid1 as eid, count(*) as n from entity_to_synonym_entities where data_source is not null and eid1 is not null group by all) select pid, eid, round(n / sum(n) over (partition by pid), 9) as weight from n",
