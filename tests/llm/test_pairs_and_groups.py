@@ -69,11 +69,11 @@ def test_overlaps(spark):
     ]
     evals = [
         (11, "The film SONGS for Bokálim Trédras was directed by whom", ["x y"], None), (12, "Who directed the film Songs for Bokalin Tredras?", None, None), (13, "Who directed the film Letters from Wadiko Prenul?", ["Z"], None),
-        (14, None, [None], None), (15, "The Orchard at Vumeko Staflir was published by which company???", ["Q"], None), (16, "The Orchard at Vumeko Staflir has which country of origin?", ["Q"], None),
+        (14, None, [None], None), (15, "The Orchard at Vumeko Staflir was published by which company???", ["Q"], None), (16, "The Orchard at Vumeko Staflir has which country of origin?", ["Q"], None), (17, "lorem ipsum " * 20_000 + "Who directed Songs for Bokalim Tredras", ["X Y"], None),
     ]
     t, e = spark.createDataFrame(train + filler, QA), spark.createDataFrame(evals, EV)
     got = sorted((r.t_id, r.e_id) for r in p3.overlaps(t, e, "qa_id", "result_id").collect())
-    assert got == [(1, 11), (1, 12), (5, 15)]
+    assert got == [(1, 11), (1, 12), (1, 17), (5, 15)]
     assert p3.overlaps(t.limit(0), e, "qa_id", "result_id").count() == 0
     assert p3.overlaps(t, e.limit(0), "qa_id", "result_id").count() == 0
 
