@@ -11,8 +11,9 @@ from . import table
 #: Events of an episode, with their place t and the gain of the step; ids produced and used are made of the event ids.
 _STEPS = """
 select concat(user_id, ':', %(day)s) as episode, t, value as ig, event_type, (event_id %% 7) as x, (event_id %% 5) as y
-from (select *, row_number() over (partition by user_id, %(day)s order by ts, event_id) - 1 as t from events) where t < 6
-"""
+from (select *, row_number() over (partition by user_id, %(day)s order by ts, event_id) - 1 as t from events)"""
+#: The SQL unrolls the steps one by one: it states the result for episodes of at most six.
+_SIX = " where t < 6\n"
 _DAY = {"day": "substr(cast(ts as string), 1, 7)"}
 _DAY_SQL = {"day": "strftime(ts, '%Y-%m')"}
 
@@ -62,20 +63,28 @@ def total(spark, d):
 
 
 def shapley(spark, d):
-    """Values of coalitions: the product of the sums of gains and sizes of the members of the first five steps."""
-    s = steps(spark, d).where("t < 5")
-    n = s.groupBy("episode").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("t", "ig"))).alias("a"))
+    """Values of coalitions: the product of the sums of gains and sizes of their members.
+
+    A table of coalitions has 2^n rows, so it is made for episodes of at most MAX_SHAPLEY steps. In longer ones the value is
+    that of the formula: a step that joins s others adds the sum of their gains and s + 1 times its own; the mean over all
+    orders is half the sum of all gains and n / 2 times its own.
+    """
+    n = steps(spark, d).groupBy("episode").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("t", "ig"))).alias("a"))
+    total = F.aggregate("a", F.lit(0.0), lambda s, x: s + x["ig"])
+    long = n.where(F.col("n") > C.MAX_SHAPLEY).select("episode", "n", total.alias("total"), F.explode("a").alias("x"))
+    long = long.select("episode", F.col("x.t").alias("t"), F.round((F.col("total") + F.col("n") * F.col("x.ig")) / 2, 5).alias("value"))
+    n = n.where(F.col("n") <= C.MAX_SHAPLEY)
     v = n.select("episode", "a", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, n)") - 1)).alias("mask"))
     inside = F.filter("a", lambda x: F.call_function("getbit", F.col("mask"), x["t"]) == 1)
     v = v.select("episode", "mask", (F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["ig"]) * F.size(inside)).alias("v"))
-    return C.shapley(v, n.select("episode", "n")).select("episode", F.col("i").alias("t"), F.round("value", 5).alias("value"))
+    return C.shapley(v, n.select("episode", "n")).select("episode", F.col("i").alias("t"), F.round("value", 5).alias("value")).unionByName(long)
 
 
 def spans(spark, d):
     """Credits spread over token spans: orders as rows, their lines as spans of l_quantity tokens."""
     from . import lines
 
-    x = lines(spark, d).where("l_quantity < 30")
+    x = lines(spark, d)
     s = x.select(F.col("l_orderkey").alias("row"), F.col("line").alias("t"), (F.col("line") * 10).alias("start"), (F.col("line") * 10 + F.pmod(F.col("l_quantity").cast("int"), F.lit(4))).alias("end"), (F.col("line") * 10).alias("anchor"), F.col("l_discount").alias("credit"))
     p = C.place_on_spans(s.select("row", "t", "credit"), s.select("row", "t", "start", "end", "anchor"))
     return p.groupBy("row").agg(F.count("*").alias("tokens"), F.round(F.sum("reward"), 6).alias("total"))
@@ -96,7 +105,7 @@ def queries():
     return {"preceding_following": preceding, "frontier_credit": frontier, "provenance_edges": provenance, "shared_entity_edges": shared, "enabling_credit": enabling, "credit_total": total, "shapley_exact": shapley, "span_placement": spans, "mock_scores": mock, "credit_structure": structure}
 
 
-_S = f"s as (select episode, t::int as t, ig, event_type, x, y from ({_STEPS % _DAY_SQL}))"
+_S = f"s as (select episode, t::int as t, ig, event_type, x, y from ({_STEPS % _DAY_SQL + _SIX}))"
 _E = """e as (select distinct episode, src, dst from (select u.episode, u.t as dst, max(m.t) as src from s u join s m on m.episode = u.episode and m.x = u.y and m.t < u.t group by u.episode, u.t))"""
 _EN = "pr as (select episode, dst, count(*) as n from e group by all), " + ", ".join(
     [f"k6 as (select episode, t, 0.0::double as c from s)"]
