@@ -4,7 +4,7 @@ Method: NN-descent. Vectors are scaled to unit length and held as 16-bit numbers
 few random-projection trees, fitted on a bounded sample of at most ``SAMPLE`` vectors, cut the space into cells; every
 vector goes to one cell of each tree, and inside a cell finer random trees and exact comparison in their leaves give
 every vector a first list of K neighbours. Then NN-descent: each round joins every vector's list with the vectors of its
-neighbours, compares all neighbours of a vector with one another and merges what is found into the lists, until less than
+neighbours, compares all neighbours of a vector with one another and merges what is found into the lists, until at most
 ``settle`` of the lists change. The number of a vector holds its cell in the first tree, so a round works cell by cell: it
 fetches only the vectors that lie in other cells, and each of them once per cell.
 
@@ -27,8 +27,8 @@ from ..session import materialize, release, small_side
 
 #: Vectors the trees are fitted on; vectors per cell aimed at; vectors per leaf compared exactly.
 SAMPLE, CELL, LEAF = 20_000, 2_000, 192
-#: Trees across the cluster, finer trees inside each cell, neighbours kept per vector, rounds at most.
-TREES, INNER, KEEP, ROUNDS = 3, 3, 6, 2
+#: Trees across the cluster, finer trees inside each cell, neighbours kept per vector.
+TREES, INNER, KEEP = 3, 3, 8
 SCALE = 32767.0
 #: A list of neighbours is held as bytes: 64-bit numbers and 32-bit similarities, best first.
 LISTS = "nid bigint, ids binary, sims binary"
@@ -101,12 +101,14 @@ def leaf_of(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 def merge(nid: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of edges nid -> ids, the ``keep`` best different ones of each nid, in the order nid, similarity descending, id."""
-    o = np.lexsort((ids, -sims, nid))
+    # the last bits of a similarity depend on how it was computed, so repeats are looked for by number
+    o = np.lexsort((-sims, ids, nid))
     nid, ids, sims = nid[o], ids[o], sims[o]
-    # equal edges have equal similarity, so repeats are neighbours
     new = np.ones(len(nid), dtype=bool)
     new[1:] = (nid[1:] != nid[:-1]) | (ids[1:] != ids[:-1])
     nid, ids, sims = nid[new], ids[new], sims[new]
+    o = np.lexsort((ids, -sims, nid))
+    nid, ids, sims = nid[o], ids[o], sims[o]
     first = np.flatnonzero(np.r_[True, nid[1:] != nid[:-1]]) if len(nid) else np.empty(0, dtype=int)
     rank = np.arange(len(nid)) - np.repeat(first, np.diff(np.r_[first, len(nid)]))
     top = rank < keep
@@ -146,7 +148,7 @@ def _last(t, keep: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(t["nid"]), np.where(size >= keep, np.r_[values, np.float32(-2)][np.cumsum(size) - 1], np.float32(-2)).astype(np.float32)
 
 
-def by_cell(df: DataFrame, cell: str, run, cells: int) -> DataFrame:
+def by_cell(df: DataFrame, cell: str, run, cells: int, schema: str = LISTS) -> DataFrame:
     """Apply run to the rows of each cell as an Arrow table, several cells to a task; no sorting in the JVM."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def by_cell(df: DataFrame, cell: str, run, cells: int) -> DataFrame:
         for x, y in zip(np.r_[0, cut], np.r_[cut, len(c)]):
             yield from run(t.slice(x, y - x)).to_batches()
 
-    return df.repartition(max(1, -(-cells // CELLS_PER_TASK)), cell).mapInArrow(part, LISTS)
+    return df.repartition(max(1, -(-cells // CELLS_PER_TASK)), cell).mapInArrow(part, schema)
 
 
 def leaf_neighbours(x: np.ndarray, keep: int, inner: int, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,14 +197,29 @@ def local_join(own: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray,
     hub, leg = np.concatenate([u, v]), np.concatenate([v, u])
     o = np.lexsort((leg, hub))
     hub, leg = hub[o], leg[o]
-    first = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]])
-    rank = np.arange(len(hub)) - np.repeat(first, np.diff(np.r_[first, len(hub)]))
-    # a vector that is in very many lists is compared through 3 * keep of them here, its others through their own lists
-    hub, leg = hub[rank < 3 * keep], leg[rank < 3 * keep]
-    first = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]])
+    # two vectors that are in each other's lists are legs of one another once
+    once = np.ones(len(hub), dtype=bool)
+    once[1:] = (hub[1:] != hub[:-1]) | (leg[1:] != leg[:-1])
+    hub, leg = hub[once], leg[once]
+    first = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]]) if len(hub) else np.empty(0, dtype=int)
     size = np.diff(np.r_[first, len(hub)])
-    pairs = []
-    for n in np.unique(size):
+    # a vector that is in very many lists: of every one of them the best of all the others, block by block
+    out = []
+    for f, n in zip(first[size > 3 * keep], size[size > 3 * keep]):
+        legs = leg[f : f + n]
+        for part in range(0, n, 2048):
+            mine, best, sims = legs[part : part + 2048], None, None
+            for other in range(0, n, 8192):
+                s = x[mine] @ x[legs[other : other + 8192]].T
+                s[mine[:, None] == legs[other : other + 8192]] = -2
+                c = min(keep, s.shape[1])
+                at_best = np.argpartition(-s, c - 1, axis=1)[:, :c]
+                found, near = legs[other + at_best], np.take_along_axis(s, at_best, 1)
+                best, sims = (found, near) if best is None else (np.concatenate([best, found], axis=1), np.concatenate([sims, near], axis=1))
+            got = sims.ravel() > -2
+            out.append((np.repeat(mine, best.shape[1])[got], best.ravel()[got]))
+    pairs = [np.minimum(a, b) * len(at) + np.maximum(a, b) for a, b in out]
+    for n in np.unique(size[size <= 3 * keep]):
         if n > 1:
             block = leg[first[size == n][:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
@@ -224,11 +241,11 @@ def _sweep(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = KEEP, trees: int = TREES, rounds: int = ROUNDS, settle: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = KEEP, trees: int = TREES, rounds: int | None = None, settle: float = 0.02, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, graph, copies) of the vectors that take part.
 
     nodes(nid, id, code): one row per different vector, ``id`` the smallest of its ids. graph(nid, ids, sims): its
-    nearest different vectors, best first. copies(id, rep): the ids with an equal vector of a smaller id. Null ids,
+    nearest different vectors, best first; ``rounds`` ends the descent before it has settled. copies(id, rep): the ids with an equal vector of a smaller id. Null ids,
     null, all-zero, non-finite vectors and those of another length take no part; repeated rows count once.
     """
     spark = df.sparkSession
@@ -281,6 +298,16 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
     def merged(t: pa.Table) -> pa.Table:
         return _lists(*merge(*_edges(t), keep))
 
+    def renewed(t: pa.Table) -> pa.Table:
+        """Merged lists, and whether each has gained a neighbour."""
+        old = np.repeat(np.asarray(t["old"]), _items(t["ids"], np.int64)[1])
+        edges = _edges(t)
+        top = merge(*edges, keep)
+        known = set(zip(edges[0][old].tolist(), edges[1][old].tolist()))
+        gained = {a for a, b in zip(top[0].tolist(), top[1].tolist()) if (a, b) not in known}
+        lists = _lists(*top)
+        return lists.append_column("moved", pa.array([a in gained for a in lists["nid"].to_pylist()], pa.bool_()))
+
     cell = F.shiftrightunsigned("nid", 48)
     cells = max(1, n // CELL)
     lists = by_cell(nodes.select("nid", "code").mapInArrow(spread, "cell bigint, nid bigint, code binary"), "cell", first, trees * cells)
@@ -313,7 +340,9 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
         better = np.ones(len(a), dtype=bool) if not len(mine) else (mine[o][p] != a) | (s > worst[o][p])
         return _lists(a[better], b[better], s[better])
 
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         last = g.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(w, pa.float32())], ["nid", "worst"]) for n, w in (_last(b, keep) for b in bs)), "nid bigint, worst float")
         fetch = g.mapInArrow(outside, "c bigint, nid bigint").distinct().join(nodes.select("nid", "code"), "nid").join(last, "nid", "left").fillna(-2.0, ["worst"])
         none, no = F.lit(None).cast("binary"), F.lit(None).cast("float").alias("worst")
@@ -323,15 +352,18 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
             .unionByName(g.select(cell.alias("c"), "nid", F.lit(2).alias("kind"), none.alias("code"), "ids", "sims", no))
         )
         new = materialize(by_cell(rows, "c", descend, cells), "p5u")
-        after = materialize(by_cell(g.unionByName(new).withColumn("c", cell), "c", merged, cells), "p5g")
-        changed = new.select("nid").distinct().count()
+        both = g.select("nid", "ids", "sims", F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False)))
+        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", moved boolean"), "p5g")
+        changed = after.where("moved").count()
         release(g)
         release(new)
-        g, fetch, rows = after, None, None
+        g, fetch, rows, both = after, None, None, None
         _sweep(spark)
         if changed <= settle * total:
             break
-    return nodes, g, copies
+    lists = g.select("nid", "ids", "sims")
+    lists._warploom_path = g._warploom_path
+    return nodes, lists, copies
 
 
 def near_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least: float = 0.9, **options) -> DataFrame:
