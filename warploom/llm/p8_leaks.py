@@ -2,7 +2,8 @@
 
 Method: one Aho-Corasick automaton over the normalised evaluation items. Normalising keeps letters and digits only, in
 lower case, without accents and look-alikes, so case, marks, blanks, line ends and hyphenation do not matter. The
-patterns are the pairs of neighbouring words of an item that few items have; one scan of a text finds them all. Hits of an item that follow
+patterns are the pairs of neighbouring words of an item that few items have, and where a pair is common the shortest run of
+words from there that few have, or four words however many have them; equal items count as one. One scan of a text finds them all. Hits of an item that follow
 one another in the text are chained; a gap in the chain is bridged when its two sides are similar, when text is only
 inserted or when at most three words that many items have are replaced, so that slight alterations do not break a
 passage while another sentence of the same build, with other names, does. A passage counts from ``min_words`` words of the item.
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .textfold import Squeeze, edit_distance
 
 MIN_WORDS = 15
-#: Pairs and words that more items than this have prove nothing by themselves.
-COMMON = 3
+#: Pairs and words that more items than this have prove nothing by themselves; a run of so many words does, whoever has it:
+#: with every fifth word altered a passage still has such runs.
+COMMON, RUN = 3, 4
 #: Longest stretch of inserted text, in normalised characters, and most words replaced at once.
 MAX_INSERT, MAX_REPLACED = 45, 3
 
@@ -40,25 +42,38 @@ class ItemIndex:
         sentences = {i: re.split(r"(?<=[.!?])\s+", (t or "").strip()) for i, t in items}
         first = Counter(s[0] for s in sentences.values() if len(s) > 1)
         self.words: dict[int, list[str]] = {}
+        #: The ids of each different item, by the first of them.
+        self.ids: dict[int, list[int]] = {}
+        seen: dict[tuple[str, ...], int] = {}
         for i, s in sentences.items():
             body = " ".join(s[1:] if len(s) > 1 and first[s[0]] >= 3 else s)
             words = [w for w in (x.translate(self.fold) for x in re.findall(r"\w+", body)) if w]
             if len(words) >= min_words:
-                self.words[i] = words
+                rep = seen.setdefault(tuple(words), i)
+                self.words[rep] = words
+                self.ids.setdefault(rep, []).append(i)
         df = Counter(w for words in self.words.values() for w in set(words))
         #: Of each item, how many of its first k words are words of few items, and not small ones.
         self.rare = {i: [0, *_running(df[w] <= COMMON and len(w) >= 4 for w in words)] for i, words in self.words.items()}
         self.start = {i: [0, *_running(map(len, w))] for i, w in self.words.items()}
         self.text = {i: "".join(w) for i, w in self.words.items()}
-        at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        has: dict[str, set[int]] = defaultdict(set)
+        for i, w in self.words.items():
+            for m in range(2, RUN + 1):
+                for k in range(len(w) - m + 1):
+                    has["".join(w[k : k + m])].add(i)
+        at: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             for k in range(len(w) - 1):
-                if len(w[k] + w[k + 1]) >= 9:
-                    at[w[k] + w[k + 1]].append((i, k))
+                for m in range(2, min_words + 1):
+                    p = "".join(w[k : k + m])
+                    if k + m > len(w) or (len(p) >= 9 and (m >= RUN or len(has[p]) <= COMMON)):
+                        break
+                if k + m <= len(w) and len(p) >= 9:
+                    at[p].append((i, k, m))
         self.auto = ahocorasick.Automaton()
         for p, where in at.items():
-            if len({i for i, _ in where}) <= COMMON:
-                self.auto.add_word(p, (len(p), where))
+            self.auto.add_word(p, (len(p), where))
         if len(self.auto):
             self.auto.make_automaton()
 
@@ -67,23 +82,25 @@ class ItemIndex:
         if not text or not len(self.auto):
             return []
         flat = text.translate(self.fold)
-        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        by: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         for end, (n, where) in self.auto.iter(flat):
-            for i, k in where:
-                by[i].append((end + 1 - n, k, n))
+            for i, k, m in where:
+                start = self.start[i]
+                for j in range(k, k + m - 1):  # a longer run is so many pairs
+                    by[i].add((end + 1 - n + start[j] - start[k], j, start[j + 2] - start[j]))
         found = []
         for i, own in by.items():
             if len({k for _, k, _ in own}) < self.needed:
                 continue
             best = self._chain(i, own, flat)
             if best[0] >= self.min_words:
-                found.append((i, *best))
+                found += [(same, *best) for same in self.ids[i]]
         if found:
             back = [p for p, c in enumerate(text) for _ in c.translate(self.fold)]
             found = [(i, n, back[a], back[b - 1] + 1) for i, n, a, b in found]
         return sorted(found)
 
-    def _chain(self, i: int, hits: list[tuple[int, int, int]], flat: str) -> tuple[int, int, int]:
+    def _chain(self, i: int, hits: set[tuple[int, int, int]], flat: str) -> tuple[int, int, int]:
         """Longest chain: (words, start, end) in the normalised text."""
         start, item = self.start[i], self.text[i]
         runs: list[list[int]] = []  # first word, last word + 1, start, end in flat
