@@ -1,7 +1,8 @@
 """Problem 3: same or near-same records across splits.
 
 Method: similarity-hash bit fingerprints. Each different question is folded (case, accents, look-alikes, marks), and its
-words are weighed by inverse document frequency over the questions of both splits. Every span of two neighbouring words
+words are weighed by inverse document frequency over the questions of both splits, less if they are seldom capitalised
+inside a question. Every span of two neighbouring words
 of nearly the greatest weight in the question (in practice the names of its title) gets a fingerprint of 96 bits: six
 segments of 16 bits, each the similarity hash of one part (beginning, middle, end) of one of the two words. The
 fingerprints are joined across the splits on permuted blocks of four of the six segments, within the Hamming radius. One
@@ -36,9 +37,11 @@ SEGMENTS, BITS, KEPT, RADIUS = 6, 16, 4, 24
 #: Words in a smaller share of the questions than 1 / SHARES all weigh the same, so the table of weights is bounded.
 SHARES = 10_000
 #: A word is weighty from this part of the greatest weight of its question; a question of less than LOW times the greatest possible weight is all common words.
-WEIGHTY, LOW = 0.7, 0.6
+WEIGHTY, LOW = 0.6, 0.6
+#: What a word weighs that is never capitalised inside a question, of one that always is.
+PLAIN = 0.4
 #: Rests of questions seen with no answers are the same fact from this likeness on.
-ALIKE = 0.7
+ALIKE = 0.5
 
 
 def words(text: str | None, fold: Fold) -> list[str]:
@@ -53,12 +56,12 @@ def close(a: str, b: str) -> bool:
 
 
 class Weights:
-    """Inverse document frequency of words, bounded by ln SHARES."""
+    """Inverse document frequency of words, bounded by ln SHARES; seen holds, by word, in how many questions it is and which share capitalises it."""
 
-    def __init__(self, n: int, df: dict[str, int]):
+    def __init__(self, n: int, seen: dict[str, tuple[int, float]]):
         n = max(n, 2)
         self.top = min(math.log(n), math.log(SHARES))
-        self.known = {w: min(math.log(n / min(c, n)), self.top) for w, c in df.items()}
+        self.known = {w: min(math.log(n / min(c, n)), self.top) * (PLAIN + (1 - PLAIN) * cap) for w, (c, cap) in seen.items()}
 
     def of(self, w: str) -> float:
         return self.known.get(w, self.top)
@@ -113,6 +116,12 @@ class Coder:
         return (bits @ (1 << np.arange(BITS, dtype=np.int64))).reshape(-1, SEGMENTS)
 
 
+def code(word: str) -> int:
+    """The 48 bits of one word of a fingerprint."""
+    a, b, c = (int(x) for x in Coder().segments([(word, word)])[0][:3])
+    return a << 2 * BITS | b << BITS | c
+
+
 BLOCKS = list(combinations(range(SEGMENTS), KEPT))
 
 
@@ -185,17 +194,21 @@ def compare(a: list[str], b: list[str], answers_a: set[str], answers_b: set[str]
 
 
 def _folded(df: DataFrame, id_col: str, question: str, answers: list[str]) -> DataFrame:
-    """(id, key, answers): the folded words of the question and the folded answers of every different row."""
+    """(id, key, answers, caps): folded words of the question, folded answers, and words capitalised inside the question, of every different row."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(question).alias("q"), F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in answers])).alias("a")).where("id is not null and q is not null").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = Fold()
         for b in batches:
-            keys = [" ".join(words(q, fold)) for q in b.column(1).to_pylist()]
+            qs = b.column(1).to_pylist()
+            keys = [" ".join(words(q, fold)) for q in qs]
             ans = [sorted({k for x in a if x for k in [" ".join(words(x, fold))] if k}) for a in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(ans, pa.list_(pa.string()))], ["id", "key", "answers"])
+            # a question in capitals throughout tells nothing
+            caps = [sorted({w.translate(fold) for w in re.findall(r"[^\W_]+", q)[1:] if w[0].isupper()}) if not q.isupper() else [] for q in qs]
+            lists = [pa.array(x, pa.list_(pa.string())) for x in (ans, caps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), *lists], ["id", "key", "answers", "caps"])
 
-    return rows.mapInArrow(run, "id bigint, key string, answers array<string>").where("key <> ''")
+    return rows.mapInArrow(run, "id bigint, key string, answers array<string>, caps array<string>").where("key <> ''")
 
 
 def _spans(keys: DataFrame, weights) -> DataFrame:
@@ -235,11 +248,13 @@ def overlaps(train: DataFrame, evals: DataFrame, train_id: str, eval_id: str, qu
     sides = {}
     for name, df, i, ans in (("t", train, train_id, train_answers), ("e", evals, eval_id, eval_answers)):
         sides[name] = materialize(_folded(df, i, question, list(ans)), f"p3{name}")
-    keys = sides["t"].select("key").unionByName(sides["e"].select("key")).distinct()
+    keys = sides["t"].select("key", "caps").unionByName(sides["e"].select("key", "caps")).groupBy("key").agg(F.max("caps").alias("caps"))
     n = keys.count()
-    df = keys.select(F.explode(F.array_distinct(F.split("key", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    told = F.size("caps") > 0
+    each = keys.select(F.explode(F.array_distinct(F.split("key", " "))).alias("w"), told.cast("int").alias("told"), "caps").select("w", "told", F.array_contains("caps", F.col("w")).cast("int").alias("cap"))
+    df = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("told").alias("told"), F.sum("cap").alias("cap"))
     # at most (words of a question) * SHARES words
-    counts = {r.w: r.n for r in df.where(F.col("n") > n / SHARES).collect()}
+    counts = {r.w: (r.n, r.cap / r.told if r.told else 1.0) for r in df.where(F.col("n") > n / SHARES).collect()}
     weights = train.sparkSession.sparkContext.broadcast((n, counts))
 
     has = {s: materialize(_spans(d.select("key").distinct(), weights), f"p3w{s}") for s, d in sides.items()}
