@@ -169,14 +169,17 @@ def synonym_candidates(features: DataFrame, limit: int = 256, posting: int | Non
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.join(b.withColumnRenamed("eid", "other"), "key").where("eid <> other")
 
-    exact = pairs(block("exact"), block("exact")).select("eid", "other").distinct().select("*", F.lit(0).alias("p"), F.lit(0).alias("votes"))
     acr = block("explicit").unionByName(block("expanded")).distinct()
-    acronym = pairs(acr, acr).select("eid", "other").distinct().select("*", F.lit(1).alias("p"), F.lit(0).alias("votes"))
     tokens = block("tokens").distinct()
     common = tokens.groupBy("key").count().where(F.col("count") > cap).select("key")
     tokens = tokens.join(common, "key", "left_anti")
-    token = pairs(tokens, tokens).groupBy("eid", "other").agg(F.count("*").cast("int").alias("votes")).select("eid", "other", F.lit(2).alias("p"), "votes")
-    best = exact.unionByName(acronym).unionByName(token).groupBy("eid", "other").agg(F.min(F.struct("p", (-F.col("votes")).alias("v"))).alias("b"))
+    every = None
+    for p, side in enumerate((block("exact"), acr, tokens)):
+        some = pairs(side, side).select("eid", "other", F.lit(p).alias("p"))
+        every = some if every is None else every.unionByName(some)
+    # one aggregation over all reasons: the products of frequent keys are summed before they are shuffled
+    best = every.groupBy("eid", "other").agg(F.min("p").alias("p"), F.sum((F.col("p") == 2).cast("int")).alias("votes"))
+    best = best.select("eid", "other", F.struct("p", F.when(F.col("p") == 2, -F.col("votes")).otherwise(F.lit(0)).alias("v")).alias("b"))
     w = Window.partitionBy("eid").orderBy("b.p", "b.v", "other")
     top = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
     reason = F.when(F.col("b.p") == 0, "exact").when(F.col("b.p") == 1, "acronym").otherwise("token")

@@ -1,18 +1,30 @@
 """Keyed retrieval: every operator answers many queries in one plan.
 
 Queries are (qid, text); documents are (id, title, text). Scores are rounded to 6 places before ranking and ties go to the
-smaller id. Rows without any common token rank last with score 0 rather than being dropped: they are only filled in for
-queries that have fewer than k matches, so no query is paired with every document.
+smaller id. Documents without any common token rank last with score 0 rather than being dropped.
+
+A set of at most BLOCK_QUERIES queries is shipped to the executors and scored against all documents in blocks of matrix
+products: nothing but the best rows of a partition is shuffled. A larger set is joined by token. Scores within a given pool
+of pairs never look at anything outside the pool.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import dot
 from ..functions.text import search_tokens
-from ..session import small_side
+from ..session import small_side, spread
+
+#: The largest set of queries that is shipped to the executors, how many are scored at a time, and the entries of a block's matrix.
+BLOCK_QUERIES, QUERY_BLOCK, CELLS = 20_000, 512, 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str, text) -> DataFrame:
@@ -53,29 +65,152 @@ def with_zeros(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -
     return scored.select("qid", "id", "score").unionByName(fill)
 
 
-def passage_scores(queries: DataFrame, docs: DataFrame, title_boost: float = 0.25) -> DataFrame:
-    """(qid, id, score) = cos(query, title and text) + title_boost * cos(query, title), rounded to 6 places."""
-    full = cosine(queries, docs.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text")))
-    if not title_boost:
-        return full.select("qid", "id", F.round("cos", 6).alias("score"))
-    head = cosine(queries, docs.select("id", F.col("title").alias("text"))).withColumnRenamed("cos", "head")
-    both = full.join(head, ["qid", "id"], "left")
-    return both.select("qid", "id", F.round(F.col("cos") + title_boost * F.coalesce("head", F.lit(0.0)), 6).alias("score"))
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of all scores that may be among the k best once rounded to 6 places; of equal scores the k first."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    least = np.partition(score, len(score) - k)[len(score) - k]
+    at = np.flatnonzero(score >= least - 1e-6)
+    if len(at) > 2 * k:
+        order = np.lexsort((at, -score[at]))
+        s = score[at][order]
+        start = np.r_[True, s[1:] != s[:-1]]
+        place = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
+        at = np.sort(at[order[place < k]])
+    return at
+
+
+def _ranker(score_block, k: int, id_type: pa.DataType, positive: bool):
+    """A function for mapInArrow: score_block(batch) gives (query numbers, scores of all rows); the k best of a partition go out per query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[pa.Array, np.ndarray]] = {}
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            for q, scores, first in score_block(batch):
+                ids = batch.column(0).slice(first, len(scores))
+                if positive and not scores.any():
+                    continue
+                at = _best(scores, k)
+                ids, scores = ids.take(pa.array(at)), scores[at]
+                if q in kept:
+                    ids, scores = pa.concat_arrays([kept[q][0], ids]), np.r_[kept[q][1], scores]
+                    order = pc.sort_indices(ids).to_numpy()
+                    ids, scores = ids.take(pa.array(order)), scores[order]
+                    at = _best(scores, k)
+                    ids, scores = ids.take(pa.array(at)), scores[at]
+                kept[q] = (ids, scores)
+        for q, (ids, scores) in kept.items():
+            keep = scores > 0 if positive else np.ones(len(scores), dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), q, dtype=np.int64)), ids.filter(pa.array(keep)), pa.array(scores[keep])], ["q", "id", "raw"])
+
+    return run
+
+
+def _numbered(queries: DataFrame, column: str) -> tuple[list, list] | None:
+    """Ids and values of a set of queries, or None if it is larger than BLOCK_QUERIES."""
+    rows = queries.select("qid", column).limit(BLOCK_QUERIES + 1).collect()
+    return None if len(rows) > BLOCK_QUERIES else ([r[0] for r in rows], [r[1] for r in rows])
+
+
+def _with_ids(found: DataFrame, qids: list, queries: DataFrame, k: int) -> DataFrame:
+    ids = found.sparkSession.createDataFrame(list(enumerate(qids)), f"q bigint, qid {queries.schema['qid'].dataType.simpleString()}")
+    return top_k(found.join(F.broadcast(ids), "q").select("qid", "id", F.round("raw", 6).alias("score")), k)
+
+
+def lexical_top(queries: DataFrame, docs: DataFrame, k: int, title_boost: float = 0.0, zeros: bool = True) -> DataFrame:
+    """(qid, id, score, rank): the k documents (id, text, and title if boosted) of greatest cosine of term counts.
+
+    With title_boost the cosine of the title is added that many times. Without zeros, documents without a common token are
+    left out. Null texts have no tokens.
+    """
+    got = _numbered(queries, "text")
+    if got is None:
+        s = cosine(queries, docs.select("id", "text")).withColumnRenamed("cos", "raw")
+        if title_boost:
+            head = cosine(queries, docs.select("id", F.col("title").alias("text")))
+            s = s.join(head, ["qid", "id"], "left").withColumn("raw", F.col("raw") + title_boost * F.coalesce("cos", F.lit(0.0)))
+        s = s.select("qid", "id", F.round("raw", 6).alias("score"))
+        return top_k(with_zeros(s, queries, docs, k) if zeros else s, k)
+    qids, texts = got
+    if not qids:
+        return docs.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    counts = [Counter(re.findall("[a-z0-9]+", (t or "").lower())) for t in texts]
+    blocks = []
+    for first in range(0, len(counts), QUERY_BLOCK):
+        own = counts[first : first + QUERY_BLOCK]
+        vocab = {t: i for i, t in enumerate(sorted({t for c in own for t in c}))}
+        cells = [(vocab[t], j, n) for j, c in enumerate(own) for t, n in c.items()]
+        norm = np.sqrt([float(sum(n * n for n in c.values())) for c in own])
+        blocks.append((first, vocab, np.array(cells, dtype=np.int64).reshape(-1, 3), norm))
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+
+    def score_block(batch: pa.RecordBatch):
+        columns = [[Counter(t or ()) for t in batch.column(i).to_pylist()] for i in range(1, batch.num_columns)]
+        norms = [np.sqrt([float(sum(n * n for n in c.values())) for c in col]) for col in columns]
+        for first, vocab, cells, norm in shared.value:
+            m = np.zeros((max(1, len(vocab)), len(norm)))
+            m[cells[:, 0], cells[:, 1]] = cells[:, 2]
+            step = max(1, CELLS // m.shape[0])
+            for at in range(0, batch.num_rows, step):
+                total = None
+                for col, length, weight in zip(columns, norms, (1.0, title_boost)):
+                    d = np.zeros((min(step, batch.num_rows - at), m.shape[0]))
+                    for i, c in enumerate(col[at : at + step]):
+                        for t in c.keys() & vocab.keys():
+                            d[i, vocab[t]] = c[t]
+                    dots, both = d @ m, length[at : at + step, None] * norm
+                    cos = np.divide(dots, both, out=np.zeros_like(dots), where=both > 0)
+                    total = cos if total is None else total + weight * cos
+                for j in range(len(norm)):
+                    yield first + j, total[:, j], at
+
+    cols = ["id", search_tokens("text").alias("t")] + ([search_tokens("title").alias("h")] if title_boost else [])
+    id_type = docs.schema["id"].dataType
+    found = spread(docs).select(*cols).mapInArrow(_ranker(score_block, k, id_type, not zeros), f"q bigint, id {id_type.simpleString()}, raw double")
+    return _with_ids(found, qids, queries, k)
 
 
 def search_passages(queries: DataFrame, docs: DataFrame, k: int = 5, title_boost: float = 0.25) -> DataFrame:
-    """(qid, id, score, rank)."""
-    return top_k(with_zeros(passage_scores(queries, docs, title_boost), queries, docs, k), k)
+    """(qid, id, score, rank) by cos(query, title and text) + title_boost * cos(query, title)."""
+    full = docs.select("id", "title", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    return lexical_top(queries, full, k, title_boost)
 
 
 def search_vectors(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
-    """(qid, id, score, rank) by inner product; queries(qid, vec), vectors(id, vec).
+    """(qid, id, score, rank) by inner product in double precision; queries(qid, vec), vectors(id, vec).
 
-    A stated set of queries against all vectors, in blocks: each vector meets the queries' side of its partition and only
-    the k best of a partition and query are shuffled.
+    At most BLOCK_QUERIES queries go to the executors, where each batch of vectors meets them in matrix products. Of more
+    queries, blocks of QUERY_BLOCK go through the same product one after the other as rows beside the vectors' batches.
+    Null vectors and vectors of another length than the first query's take no part.
     """
-    s = vectors.select("id", "vec").crossJoin(small_side(queries.select("qid", F.col("vec").alias("qv")), 50_000))
-    return top_k(s.select("qid", "id", F.round(dot("qv", "vec"), 6).alias("score")), k)
+    got = _numbered(queries.where("vec is not null"), "vec")
+    if got is None:
+        n = queries.where("vec is not null").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(-(-queries.count() // (BLOCK_QUERIES // 2)))))
+        parts = [search_vectors(n.where(F.col("_b") == b).drop("_b"), vectors, k) for b in range(n.agg(F.max("_b")).first()[0] + 1)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    qids, vecs = got
+    size = len(vecs[0]) if vecs else 0
+    use = [i for i, v in enumerate(vecs) if len(v) == size]
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([vecs[i] for i in use], dtype=np.float64).reshape(-1, size))
+
+    def score_block(batch: pa.RecordBatch):
+        m = shared.value
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, size)
+        step = max(1, CELLS // QUERY_BLOCK)
+        for first in range(0, len(m), QUERY_BLOCK):
+            for at in range(0, batch.num_rows, step):
+                scores = x[at : at + step] @ m[first : first + QUERY_BLOCK].T
+                for j in range(scores.shape[1]):
+                    yield first + j, np.ascontiguousarray(scores[:, j]), at
+
+    id_type = vectors.schema["id"].dataType
+    rows = vectors.where((F.size("vec") == size) & F.expr("not exists(vec, x -> x is null)")).select("id", "vec")
+    found = rows.mapInArrow(_ranker(score_block, k, id_type, False), f"q bigint, id {id_type.simpleString()}, raw double")
+    return _with_ids(found, [qids[i] for i in use], queries, k)
 
 
 def fuse(ranked: list[tuple[str, DataFrame]], k: int = 10, c: int = 60) -> DataFrame:
@@ -88,12 +223,23 @@ def fuse(ranked: list[tuple[str, DataFrame]], k: int = 10, c: int = 60) -> DataF
     return top_k(s, k)
 
 
-def sentence_scores(queries: DataFrame, sentences: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) of sentences (id, title, text); only those of pool(qid, id) if given, which then all have a score."""
-    s = cosine(queries, sentences.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text")))
-    s = s.select("qid", "id", F.round("cos", 6).alias("score"))
-    if pool is None:
-        return s
+def _sentence_text(sentences: DataFrame) -> DataFrame:
+    return sentences.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def sentence_scores(queries: DataFrame, sentences: DataFrame, pool: DataFrame) -> DataFrame:
+    """(qid, id, score) of the pairs pool(qid, id), 0 without a common token; sentences (id, title, text).
+
+    Only sentences of the pool are tokenised, and only pairs of the pool are formed: the tokens of a pair's query meet the
+    tokens of its own sentence.
+    """
+    pool = pool.select("qid", "id").distinct()
+    own = _sentence_text(sentences).join(pool.select("id").distinct(), "id", "left_semi")
+    d = postings(own, "id", "text")
+    q = postings(queries, "qid", "text").withColumnsRenamed({"id": "qid", "tf": "qtf"})
+    qn = norms(q.select(F.col("qid").alias("id"), F.col("qtf").alias("tf"))).withColumnsRenamed({"id": "qid", "norm": "qnorm"})
+    s = pool.join(q, "qid").join(d, ["id", "token"]).groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    s = s.join(norms(d), "id").join(qn, "qid").select("qid", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return pool.join(s, ["qid", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -106,8 +252,8 @@ def hybrid(queries: DataFrame, passages: DataFrame, sentences: DataFrame, entiti
     top = search_passages(queries, passages, passages_read).where(F.col("rank") <= passages_kept)
     pool = top.select("qid", F.col("id").alias("pid")).join(sentences.select("id", "pid"), "pid").select("qid", "id")
     one = top_k(sentence_scores(queries, sentences, pool), sentence_k)
-    two = top_k(sentence_scores(queries, sentences), sentence_k)
-    ents = top_k(with_zeros(cosine(queries, entities.select("id", "text")).select("qid", "id", F.round("cos", 6).alias("score")), queries, entities, entity_k), entity_k)
+    two = lexical_top(queries, _sentence_text(sentences), sentence_k, zeros=False)
+    ents = lexical_top(queries, entities.select("id", "text"), entity_k)
     named = ents.select("qid", F.col("id").alias("eid")).join(mentions, "eid").select("qid", F.col("sid").alias("id")).distinct()
     three = top_k(sentence_scores(queries, sentences, named), sentence_k)
     return fuse([("passage", one), ("sentence", two), ("entity", three)], k, c)
@@ -189,7 +335,7 @@ def bridges(selected: DataFrame, queries: DataFrame, entities: DataFrame, mentio
     far = nb.unionByName(sy).join(src.select("qid", F.col("source").alias("id")), ["qid", "id"], "left_anti").select("qid", "source", "id", "p", "reason")
     every = sel.unionByName(co).unionByName(far).where("id <> source")
     pair = every.groupBy("qid", "id").agg(F.min("p").alias("p"), F.count_distinct("reason").alias("n"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"), F.min("source").alias("source"))
-    sem = top_k(cosine(queries, entities.select("id", "text")).select("qid", "id", F.round("cos", 6).alias("score")), max(4 * k, 16)).select("qid", "id", F.col("rank").alias("sem"))
+    sem = lexical_top(queries, entities.select("id", "text"), max(4 * k, 16), zeros=False).select("qid", "id", F.col("rank").alias("sem"))
     j = pair.join(sem, ["qid", "id"], "left")
     w = Window.partitionBy("qid").orderBy("p", F.desc("n"), F.asc_nulls_last("sem"), "id")
     r = j.withColumn("st", F.row_number().over(w))

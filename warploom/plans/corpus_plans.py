@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -73,21 +74,25 @@ def answer_form(spark, d):
     return x.select("qa_id", "a", T.normalize_answer("a").alias("normal"))
 
 
+def _one_each(spark, d):
+    """(eid, canonical, label): of the rows of an entity the first by name and label, nulls last."""
+    w = Window.partitionBy("eid").orderBy(F.asc_nulls_last("canonical"), F.asc_nulls_last("label"))
+    return table(spark, d, "entity_store").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("eid", "canonical", "label")
+
+
 def features(spark, d):
-    f = G.synonym_features(table(spark, d, "entity_store").dropDuplicates(["eid"]).select("eid", "canonical", "label", F.array("canonical").alias("surface_forms")))
+    f = G.synonym_features(_one_each(spark, d).select("eid", "canonical", "label", F.array("canonical").alias("surface_forms")))
     return f.select("eid", F.array_join(F.array_sort("tokens"), " ").alias("tokens"), F.array_join(F.array_sort("exact"), "|").alias("exact"), "usable")
 
 
 def blocks(spark, d):
-    """Pairs of entities that share a token of at most 40 entities, with the number of shared ones."""
-    f = G.synonym_features(table(spark, d, "entity_store").where("canonical is not null").dropDuplicates(["eid"]).select("eid", "canonical", "label", F.array("canonical").alias("surface_forms")))
-    t = f.select("eid", F.explode("tokens").alias("key"))
-    rare = t.join(t.groupBy("key").count().where("count <= 40").select("key"), "key", "left_semi")
-    return rare.join(rare.withColumnRenamed("eid", "other"), "key").where("eid < other").groupBy("eid", "other").agg(F.count("*").alias("shared"))
+    """Candidate pairs of the entities with a name: an exact form, an acronym or a token in common, at most 256 per entity."""
+    e = _one_each(spark, d).where("canonical is not null")
+    return G.synonym_candidates(G.synonym_features(e.withColumn("surface_forms", F.lit(None).cast("array<string>"))))
 
 
 def synonyms(spark, d):
-    e = table(spark, d, "entity_store").where("canonical is not null").dropDuplicates(["eid"]).select("eid", F.lower(T.normalize_ws("canonical")).alias("canonical"), "label", F.lit(None).cast("array<string>").alias("surface_forms"))
+    e = _one_each(spark, d).where("canonical is not null").select("eid", F.lower(T.normalize_ws("canonical")).alias("canonical"), "label", F.lit(None).cast("array<string>").alias("surface_forms"))
     return G.synonym_edges(e)
 
 
@@ -143,7 +148,19 @@ def _sentences_sql(col):
 
 _TOK = "regexp_extract_all(lower(%s), '[a-z0-9]+')"
 _PUNCT = r"[!-/:-@\[-`{-~]"
-_ENT = "(select distinct on (eid) eid, canonical, label from entity_store where canonical is not null)"
+_ENT = "(select eid, canonical, label from (select *, row_number() over (partition by eid order by canonical nulls last, label nulls last) as r from entity_store) where r = 1)"
+#: Candidate pairs: keys of each kind (p: 0 exact form, 1 acronym, 2 token), the best reason of a pair, the 256 best of an entity.
+_PAIRS = """with x as (select eid, canonical, list_filter(regexp_extract_all(lower(canonical), '[a-z0-9]+'), lambda t: true) as raw from {ent} where canonical is not null),
+    f as (select eid, canonical, raw, list_filter(raw, lambda t: t not in {stop}) as keep, array_to_string(raw, '') as compact from x),
+    ex as (select distinct eid, unnest([array_to_string(raw, ' '), compact]) as key from f),
+    ac as (select eid, compact as key from f where regexp_full_match(trim(canonical), '[A-Z.\\- ]{{3,}}') and regexp_full_match(compact, '[a-z]{{3,}}')
+        union select eid, array_to_string(list_transform(keep, lambda t: left(t, 1)), '') from f where len(keep) >= 2),
+    tk as (select distinct eid, unnest(keep) as key from f), tr as (select * from tk where key not in (select key from tk group by key having count(*) > 2048)),
+    u as (select a.eid, b.eid as other, 0 as p, 0 as v from ex a join ex b using (key) where a.eid <> b.eid and key <> ''
+        union all select a.eid, b.eid, 1, 0 from ac a join ac b using (key) where a.eid <> b.eid
+        union all select a.eid, b.eid, 2, -count(*) from tr a join tr b using (key) where a.eid <> b.eid group by all),
+    best as (select eid, other, p, v from (select *, row_number() over (partition by eid, other order by p, v) as r from u) where r = 1)
+    select eid, other, ['exact', 'acronym', 'token'][p + 1] as reason from (select *, row_number() over (partition by eid order by p, v, other) as r from best) where r <= 256"""
 
 
 def oracle_sql():
@@ -168,11 +185,11 @@ def oracle_sql():
         "junk_surfaces": f"with e as (select distinct eid, label, unnest(surface_forms) as surface from entity_store) select eid, surface, coalesce({junk}, false) as junk, coalesce({junk}, false) or coalesce(upper(trim(label)) in {val}, false) or coalesce(lower(trim(surface)) in {nat}, false) as bad_target from e",
         "entity_registry": f"with e as (select eid, label, case when len({_TOK % 'canonical'}) > 0 then array_to_string({_TOK % 'canonical'}, ' ') else lower(trim({_NORM % 'canonical'}, {edges})) end as key from entity_store where canonical is not null) select key, min(eid) as eid, count(distinct eid) as ids, arg_min(label, ({rank}, label)) as label from e group by key",
         "answer_normal_form": f"with x as (select distinct qa_id, unnest(golden_answers) as a from qa_train) select qa_id, a, {_NORM % answer} as normal from x",
-        "synonym_features": f"""with e as (select eid, {_TOK % 'canonical'} as raw from (select distinct on (eid) eid, coalesce(canonical, '') as canonical from entity_store)),
+        "synonym_features": f"""with e as (select eid, {_TOK % 'canonical'} as raw from (select eid, coalesce(canonical, '') as canonical from {_ENT})),
             f as (select eid, raw, list_filter(raw, lambda t: t not in {_STOP}) as keep, array_to_string(raw, ' ') as spaced, array_to_string(raw, '') as compact from e)
             select eid, array_to_string(list_sort(list_distinct(keep)), ' ') as tokens, array_to_string(list_sort(list_distinct(list_filter([spaced, compact], lambda k: k <> ''))), '|') as exact,
             not (length(compact) <= 2 or coalesce(raw[-1] in {_STOP}, true) or (len(raw) <= 4 and len(list_distinct(raw)) < len(raw)) or len(keep) = 0) as usable from f""",
-        "block_candidates": f"with t as (select distinct eid, unnest({_TOK % 'canonical'}) as key from {_ENT}), s as (select eid, key from t where key not in {_STOP}), r as (select * from s where key in (select key from s group by key having count(*) <= 40)) select a.eid, b.eid as other, count(*) as shared from r a join r b using (key) where a.eid < b.eid group by all",
+        "block_candidates": _PAIRS.format(ent=_ENT, stop=_STOP),
         "coo_symmetric": "with e as (select eid1, eid2, max(round(score, 4)) as score from entity_to_synonym_entities where regexp_full_match(eid1, 'e_[0-9]+') and regexp_full_match(eid2, 'e_[0-9]+') and eid1 <> eid2 group by all), c as (select substr(eid1, 3)::bigint as a, substr(eid2, 3)::bigint as b, score::float as data from e), u as (select a as row, b as col, data from c union select b, a, data from c) select row, count(*) as n, round(sum(data::double), 3) as total from u group by row",
         "passage_entity_weight": "with n as (select data_source as pid, eid1 as eid, count(*) as n from entity_to_synonym_entities where data_source is not null and eid1 is not null group by all) select pid, eid, round(n / sum(n) over (partition by pid), 9) as weight from n",
         "edge_counts": "select count(*) as mentions, count(distinct (data_source, eid1)) as passage_entity, count(distinct (method, eid1)) as sentence_entity from entity_to_synonym_entities where data_source is not null and eid1 is not null and method is not null",

@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import search as S
+from ..session import materialize, spread
 from . import table
 from .corpus_plans import _NORM, _TOK, _sentences_sql
 
 
 def questions(spark, d):
-    """The first twelve tokens of each item."""
-    return table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.search_tokens("item_text"), 1, 12), " ").alias("text"))
+    """The items, whole."""
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("item_text").alias("text"))
 
 
 def passages(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def doc_sentences(spark, d):
-    x = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.posexplode(T.sentences("text")).alias("pos", "text"))
+def doc_sentences(spark, d, only=None):
+    """Sentences of all documents, or of those with an id in only(pid): texts are split after that join."""
+    x = table(spark, d, "documents").withColumnRenamed("doc_id", "pid")
+    x = x if only is None else x.join(only.select("pid").distinct(), "pid", "left_semi")
+    x = spread(x).select("pid", F.posexplode(T.sentences("text")).alias("pos", "text"))
     return x.select(F.concat(F.col("pid"), F.lit(":"), F.lpad("pos", 5, "0")).alias("id"), "pid", "pos", F.lit("").alias("title"), "text")
 
 
@@ -31,8 +35,7 @@ def entities(spark, d):
 
 
 def lexical(spark, d):
-    docs = passages(spark, d).withColumn("title", F.lit(""))
-    return S.search_passages(questions(spark, d), docs, 8, 0.0).select("qid", "id", "score", "rank")
+    return S.lexical_top(questions(spark, d), passages(spark, d), 8).select("qid", "id", "score", "rank")
 
 
 def boosted(spark, d):
@@ -41,16 +44,14 @@ def boosted(spark, d):
 
 def two_stage(spark, d):
     q = questions(spark, d)
-    top = S.search_passages(q, passages(spark, d), 5)
-    s = doc_sentences(spark, d)
-    pool = top.select("qid", F.col("id").alias("pid")).join(s.select("id", "pid"), "pid").select("qid", "id")
+    top = materialize(S.search_passages(q, passages(spark, d), 5).select("qid", F.col("id").alias("pid")), "twostage")
+    s = materialize(doc_sentences(spark, d, top), "twostage")
+    pool = top.join(s.select("id", "pid"), "pid").select("qid", "id")
     return S.top_k(S.sentence_scores(q, s, pool), 8).select("qid", "id", "score", "rank")
 
 
 def entity_search(spark, d):
-    q, e = questions(spark, d), entities(spark, d)
-    s = S.cosine(q, e).select("qid", "id", F.round("cos", 6).alias("score"))
-    return S.top_k(S.with_zeros(s, q, e, 8), 8).select("qid", "id", "score", "rank")
+    return S.lexical_top(questions(spark, d), entities(spark, d), 8).select("qid", "id", "score", "rank")
 
 
 def _vectors(spark, d):
@@ -77,8 +78,8 @@ def dense_pairs(spark, d):
 
 def rrf(spark, d):
     q, p = questions(spark, d), passages(spark, d)
-    a = S.search_passages(q, p.withColumn("title", F.lit("")), 8, 0.0)
-    b = S.top_k(S.cosine(q, p.select("id", F.col("title").alias("text"))).select("qid", "id", F.round("cos", 6).alias("score")), 8)
+    a = S.lexical_top(q, p, 8)
+    b = S.lexical_top(q, p.select("id", F.col("title").alias("text")), 8, zeros=False)
     return S.fuse([("text", a), ("title", b)], 6).select("qid", "id", "score", "source", "rank")
 
 
@@ -116,7 +117,7 @@ def _sent(g):
 
 
 def _synonyms(g):
-    return G.synonym_edges(g.entities.select("eid", "canonical", "label", F.lit(None).cast("array<string>").alias("surface_forms")), limit=64)
+    return materialize(G.synonym_edges(g.entities.select("eid", "canonical", "label", F.lit(None).cast("array<string>").alias("surface_forms"))), "synonyms")
 
 
 def hybrid(spark, d):
@@ -125,9 +126,8 @@ def hybrid(spark, d):
 
 
 def _targets(g):
-    """Ten entities with most sentences, each with its name as the question."""
-    top = g.mentions.groupBy("eid").agg(F.count_distinct("sid").alias("n")).orderBy(F.desc("n"), "eid").limit(10)
-    return top.join(g.entities, "eid").select(F.col("eid").alias("qid"), "eid", F.col("canonical").alias("text"))
+    """A stated set of entities, those whose hashed id is divisible by 100, each with its name as the question."""
+    return g.entities.where(F.pmod(F.xxhash64("eid"), F.lit(100)) == 0).select(F.col("eid").alias("qid"), "eid", F.col("canonical").alias("text"))
 
 
 def lookup(spark, d):
@@ -146,8 +146,7 @@ def expand(spark, d):
 def bridges(spark, d):
     g = _graph(spark, d)
     t = _targets(g)
-    first = t.join(g.mentions, "eid").groupBy("qid").agg(F.min("sid").alias("sid"))
-    return S.bridges(first, t.select("qid", "text"), _names(g), g.mentions, g.adjacent, _synonyms(g))
+    return S.bridges(t.join(g.mentions, "eid").select("qid", "sid").distinct(), t.select("qid", "text"), _names(g), g.mentions, g.adjacent, _synonyms(g))
 
 
 def queries():
@@ -157,7 +156,7 @@ def queries():
     }
 
 
-_Q = f"qt as (select item_id as qid, unnest(({_TOK % 'item_text'})[1:12]) as token from eval_items), q as (select qid, token, count(*) as qtf from qt group by all), qn as (select qid, sqrt(sum(qtf * qtf)) as qnorm from q group by qid)"
+_Q = f"qt as (select item_id as qid, unnest({_TOK % 'item_text'}) as token from eval_items), q as (select qid, token, count(*) as qtf from qt group by all), qn as (select qid, sqrt(sum(qtf * qtf)) as qnorm from q group by qid)"
 
 
 def _cos(name, source):

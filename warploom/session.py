@@ -1,15 +1,17 @@
 """Session set-up and lineage cuts.
 
 Tables that cut lineage are written to the folder named by ``spark.checkpoint.dir`` (shared by all executors).
-Only where that setting is absent, as in tests on one machine, a folder of our own is used.
+Only where that setting is absent and driver and executors are one process, as in tests, a folder of our own is used.
 """
 
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,36 @@ def get_spark(app: str = "warploom", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    for k, v in (base | conf).items():
+    for k, v in (base | _SOUND | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+#: A union claims the partitioning its parts have in common, but adaptive execution coalesces the parts one by one, so a
+#: grouping above it that skips its own shuffle can give a key twice (seen with Spark 4.1). Until that holds, unions claim nothing.
+_SOUND = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def sound(query: Callable) -> Callable:
+    """query(spark, d) with the settings its results depend on."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        for k, v in _SOUND.items():
+            spark.conf.set(k, v)
+        return query(spark, d)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: ``spark.checkpoint.dir`` of the session, else a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="warploom-")
@@ -62,6 +84,15 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """df dealt over all cores if it is small: a small file is one partition, however much is computed on its rows.
+
+    A table of more than ``most`` bytes comes in many partitions and is left as it is.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if a count shows that it has at most max_rows rows, else df as it is.
 
