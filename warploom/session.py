@@ -89,7 +89,7 @@ def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
 
     A table of more than ``most`` bytes comes in many partitions and is left as it is.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
 
 
