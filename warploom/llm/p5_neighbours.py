@@ -29,6 +29,8 @@ from ..session import materialize, release, small_side
 SAMPLE, CELL, LEAF = 20_000, 2_000, 192
 #: Trees across the cluster, finer trees inside each cell, neighbours kept per vector.
 TREES, INNER, KEEP = 3, 3, 8
+#: For searches: neighbours kept per vector in the graph, and nodes a query holds on to.
+WIDE, BEAM = 12, 160
 SCALE = 32767.0
 #: A list of neighbours is held as bytes: 64-bit numbers and 32-bit similarities, best first.
 LISTS = "nid bigint, ids binary, sims binary"
@@ -163,7 +165,8 @@ def by_cell(df: DataFrame, cell: str, run, cells: int, schema: str = LISTS) -> D
         for x, y in zip(np.r_[0, cut], np.r_[cut, len(c)]):
             yield from run(t.slice(x, y - x)).to_batches()
 
-    return df.repartition(max(1, -(-cells // CELLS_PER_TASK)), cell).mapInArrow(part, schema)
+    tasks = max(-(-cells // CELLS_PER_TASK), min(cells, df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(max(1, tasks), cell).mapInArrow(part, schema)
 
 
 def leaf_neighbours(x: np.ndarray, keep: int, inner: int, leaf: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -410,11 +413,11 @@ def near_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least: floa
     return out
 
 
-def search(queries: DataFrame, nodes: DataFrame, g: DataFrame, k: int = 5, beam: int = 16, hops: int = 8, dim: int = 64, seed: int = 7) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, g: DataFrame, k: int = 5, beam: int = BEAM, dim: int = 64, seed: int = 7) -> DataFrame:
     """(qid, id, sim): for each row (qid, code) of queries its k most similar nodes, found by greedy search over the graph.
 
     Each query starts from a stated sample of entry nodes and moves on to the neighbours of its ``beam`` best nodes until
-    no query gains any, at most ``hops`` times; distances are only computed to the nodes it meets.
+    no query gains any; distances are only computed to the nodes it meets.
     """
     spark = queries.sparkSession
     n = max(1, nodes.count())
@@ -440,11 +443,12 @@ def search(queries: DataFrame, nodes: DataFrame, g: DataFrame, k: int = 5, beam:
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nid, ids, _ = _edges(b)
-            yield pa.RecordBatch.from_arrays([pa.array(nid, pa.int64()), pa.array(ids, pa.int64())], ["nid", "to"])
+            # edges are walked both ways
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[nid, ids], pa.int64()), pa.array(np.r_[ids, nid], pa.int64())], ["nid", "to"])
 
-    hop = materialize(g.mapInArrow(spell, "nid bigint, to bigint"), "p5h")
+    hop = materialize(g.mapInArrow(spell, "nid bigint, to bigint").distinct(), "p5h")
     best = materialize(queries.select("qid", "code").mapInArrow(enter, out).withColumn("open", F.lit(True)), "p5s")
-    for _ in range(hops):
+    while True:  # ends, as a list only ever gains nearer nodes
         step = best.where("open").join(hop, "nid").select("qid", F.col("to").alias("nid")).distinct().join(best.select("qid", "nid"), ["qid", "nid"], "left_anti")
         new = step.join(nodes.select("nid", F.col("code").alias("c2")), "nid").join(queries.select("qid", F.col("code").alias("c1")), "qid").select("qid", "nid", "c1", "c2").mapInArrow(score, out)
         both = best.withColumn("open", F.lit(False)).unionByName(new.withColumn("open", F.lit(True)))
@@ -465,8 +469,27 @@ def found(spark, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def answers(df: DataFrame, id_col: str, vec_col: str, asked: F.Column, k: int = 5, **options) -> DataFrame:
+    """(qid, id, sim): the k most similar other vectors of every vector for whose ``id`` the condition asked holds.
+
+    Found by greedy search over the graph of different vectors; equal vectors are put back on both sides: every asked id
+    is a query, and of a set of equals the smallest ids come first.
+    """
+    nodes, g, copies = graph(df, id_col, vec_col, keep=WIDE, **options)
+    alike = nodes.select("id", F.col("id").alias("rep")).unionByName(copies)
+    who = materialize(alike.where(asked).select(F.col("id").alias("qid"), "rep"), "p5w")
+    q = materialize(who.select(F.col("rep").alias("id")).distinct().join(nodes, "id").select(F.col("id").alias("qid"), "code"), "p5q")
+    hits = materialize(search(q, nodes, g, k=k + 1).select(F.col("qid").alias("rep"), F.col("id").alias("node"), "sim"), "p5r")
+    # of a set of equals nobody's first k hold more than the k + 1 smallest ids
+    w = Window.partitionBy("rep").orderBy("id")
+    few = alike.join(hits.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    every = who.join(hits, "rep").join(few.select(F.col("rep").alias("node"), "id"), "node").where("qid <> id").select("qid", "id", "sim")
+    top = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
+    return every.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("qid", "id", "sim")
+
+
 def searched(spark, d: str) -> DataFrame:
-    """Entity vectors whose number is divisible by 100 as queries against all entity vectors."""
-    nodes, g, _ = graph(spark.read.parquet(f"{d}/entity_embeddings.parquet"), "eid", "embedding")
-    q = nodes.where(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 100 == 0).select(F.col("id").alias("qid"), "code")
-    return search(materialize(q, "p5q"), nodes, g, k=6).where("qid <> id")
+    """Vectors of both tables whose number is divisible by 100 as queries against all vectors of their table."""
+    asked = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 100 == 0
+    parts = [answers(spark.read.parquet(f"{d}/{t}.parquet"), i, "embedding", asked).select(F.lit(t).alias("vec_table"), "qid", "id", "sim") for t, i in TABLES]
+    return parts[0].unionByName(parts[1])
