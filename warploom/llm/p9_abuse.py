@@ -248,10 +248,11 @@ def _invent(rng: np.random.Generator) -> str:
 def fill(form: str, lang: str, rng: np.random.Generator) -> str:
     pick = lambda x: x[rng.integers(len(x))]
     insults = seeds.INSULTS[lang].split("|")
+    slots = {k: by[lang].split("|") for k, by in seeds.SLOTS.items()}
     form = form.replace("{g}", (pick(["", "", "", "Northern ", "Old "]) + _invent(rng) + pick(["", "", "i", "ites", "ish"])) + pick(seeds.GROUP_TAILS))
     while "{" in form:
         k = form[form.index("{") + 1]
-        form = form.replace("{" + k + "}", {"n": lambda: pick(seeds.NAMES) if rng.random() < 0.5 else _invent(rng), "p": lambda: _invent(rng), "i": lambda: pick(insults), "r": lambda: pick(seeds.ROLES), "o": lambda: f"{_invent(rng)} Shipping Company", "w": lambda: f"The Ladder of {_invent(rng)}", "y": lambda: str(rng.integers(1820, 2020))}[k](), 1)
+        form = form.replace("{" + k + "}", {"n": lambda: pick(seeds.NAMES) if rng.random() < 0.5 else _invent(rng), "p": lambda: _invent(rng), "i": lambda: pick(insults), "r": lambda: pick(seeds.ROLES), "o": lambda: f"{_invent(rng)} Shipping Company", "w": lambda: f"The Ladder of {_invent(rng)}", "y": lambda: str(rng.integers(1820, 2020)), **{x: lambda x=x: pick(slots[x]) for x in slots}}[k](), 1)
     return form
 
 
@@ -269,13 +270,14 @@ def disguise(w: str, rng: np.random.Generator) -> str:
     return w[:i] + chr(97 + rng.integers(26)) + w[i + 1 :]
 
 
-def make(docs: list[str], rng: np.random.Generator, per_form: int = 26) -> dict:
-    """Training windows from labelled, clean documents and the seeds."""
+def make(docs: list[str], rng: np.random.Generator, weak: list[tuple[int, str]] = (), per_form: int = 26) -> dict:
+    """Training windows from labelled, clean documents, the seeds, and windows (category, text) of documents labelled toxic."""
     fold = Lexicon({}, [])
     texts = [fold.words(t) for t in docs if t]
     df = Counter(w for t in texts for w in set(t))
     forms = [(k, lang, f) for k, by in enumerate((seeds.ABUSE, seeds.HATE, seeds.SEXUAL)) for lang, fs in by.items() for f in fs]
     pos = [(k, fill(f, lang, rng)) for k, lang, f in forms for _ in range(per_form)]
+    pos += [x for x in weak for _ in range(max(2, per_form // 3))]
     alike = [fill(f, "en", rng) for f in seeds.BENIGN for _ in range(per_form)]
     own = Counter(w for _, s in pos for w in set(fold.words(s))) + Counter(w for s in alike for w in set(fold.words(s)))
     hot = Counter(w for _, s in pos for w in set(fold.words(s)))
@@ -332,15 +334,39 @@ def make(docs: list[str], rng: np.random.Generator, per_form: int = 26) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 5) -> dict:
-    """The trained network. docs and labels as tables; only documents labelled toxic = 0 are read, at most fit_docs."""
-    clean = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    texts = [r.text for r in docs.select("doc_id", "text").where("text is not null").join(F.broadcast(clean), "doc_id").orderBy("doc_id").select("text").collect()]
-    return fit(texts, seed)
+    """The trained network; docs and labels as tables.
 
+    At most fit_docs documents labelled toxic = 0 give the negatives. Of at most as many labelled toxic = 1 (and never 0),
+    which do not say where or how, the windows that a first network, trained on the seeds, finds become positives of a
+    second.
+    """
+    said = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
 
-def fit(texts: list[str], seed: int = 5, most: int = 24_000) -> dict:
+    def read(which: str) -> list[str]:
+        own = said.where(which).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+        return [r.text for r in docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id").orderBy("doc_id").select("text").collect()]
+
+    clean, toxic = read("toxic = 0"), read("least = 1")
+    model = fit(clean, seed)
+    weak = weak_positives(toxic, model)
+    return fit(clean, seed, weak) if weak else model
+
+
+def weak_positives(texts: list[str], model: dict, least: float = 0.3) -> list[tuple[int, str]]:
+    """(category, window) of texts known to hold something: all windows above the threshold, and of each text the strongest above ``least``."""
+    s, out = Scorer(model), []
+    for t in texts:
+        ws = t.split()
+        parts = [" ".join(ws[at : at + WIDTH]) for at in range(0, max(1, len(ws) - STEP), STEP)]
+        q = s.score(parts)
+        best = int(q.max(axis=1).argmax()) if len(q) else 0
+        out += [(int(q[i].argmax()), x) for i, x in enumerate(parts) if q[i].max() >= (least if i == best else THRESHOLD)]
+    return out
+
+
+def fit(texts: list[str], seed: int = 5, weak: list[tuple[int, str]] = (), most: int = 24_000) -> dict:
     rng = np.random.default_rng(seed)
-    d = make(texts, rng)
+    d = make(texts, rng, weak)
     ids, y, w = d["ids"], d["y"], d["w"]
     p = init(len(d["known"]) + 2, rng)
     # words without an entry share the vector REST and differ by their letters
