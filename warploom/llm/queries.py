@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..session import sound
 from . import p1_groups, p2_pairs, p3_splits, p4_names, p5_neighbours, p6_split, p7_pack, p8_leaks, p9_abuse
 
 
 def queries() -> dict:
-    return {
+    found = {
         "p1_found": p1_groups.found,
         "p1_group_sizes": p1_groups.group_sizes,
         "p2_found": p2_pairs.found,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "p9_scored": p9_abuse.scored,
         "p9_rates": p9_abuse.rates,
     }
+    return {k: sound(v) for k, v in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
