@@ -144,3 +144,9 @@ FRAMES = {
 for _by, _name in ((ABUSE, "abuse"), (HATE, "hate"), (SEXUAL, "sexual")):
     for _lang, _forms in FRAMES[_name].items():
         _by[_lang] = _by[_lang] + _forms
+
+#: Medicine, biology and art in the words of the frames, so that these words alone are no offence.
+BENIGN = BENIGN + [
+    "Midwives show new parents how breastfeeding works and why breast milk helps the baby.", "Doctors examine the breasts for lumps, and screening in {p} is free.", "A hospital in {p} trains staff to support mothers and infants.", "Breast feeding was promoted by {o} in {y}.", "The health ministry published advice on safe sex and contraception in {y}.",
+    "The sex of the chicks is told by the wing feathers.", "Farmers in {p} keep cocks, hens and geese.", "A webcam on the tower of {p} shows the weather.", "Art students in {p} draw nude models once a week.", "The naked eye can see the comet above {p}.", "Animals such as rats spread the disease in the port of {p}.", "The plague reached {p} in {y} and many people fled.",
+]
