@@ -1,11 +1,11 @@
 """Problem 2: broken prompt and response pairs.
 
-Method: a multi-label linear classifier on hashed n-grams and pair features. It is trained here, in numpy, on question and
-answer pairs of the tables (at most ``FIT_ROWS`` of each, the pairs of smallest hash) and on broken copies made of
-them: answers cut off, questions copied with small changes, answers swapped with those of questions in another language,
-refusals put together from a grammar, and empty ones. Real pairs are negatives only where that is sure (they hold the
-golden answer, they end in a final mark); what a first fit finds among the others joins the positives of a second. Each label has a threshold per answer field, set on held-out copies and held-out real pairs.
-Scoring then covers every row.
+Method: a multi-label linear classifier on hashed n-grams and pair features. It is trained here, in numpy, on all question
+and answer pairs of the tables and on broken copies made of them: answers cut off, questions copied with small changes,
+answers swapped with those of questions in another language, refusals put together from a grammar, and empty ones. Real
+pairs, and what copies hold of them, are negatives only where that is sure (they hold the golden answer, they end in a final
+mark); what a first fit finds among the others joins the positives of a second. The pairs are dealt over tasks by hash; each
+fits weights, which are averaged. Each label has a threshold per answer field, set on the pairs held out of all tasks.
 
 Each label has feature groups of its own: the language label sees only which languages question and answer are in, the
 copy label only what they share, and so on, so that no label learns the stock sentences of another. Names are invented
@@ -27,11 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, release, spread
 from .textfold import Fold
 
 LABELS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 FIELDS = ("prediction", "golden_answers")
-FIT_ROWS, EPOCHS, PRIOR = 3_000, 10, 50
+#: Pairs fitted together in one task; passes over them, at least and at most, and the rows passed beyond which they are fewer.
+FIT_ROWS, EPOCHS, PASSED, PRIOR = 20_000, (3, 10), 150_000, 50
+#: Broken copies of a pair by field, and the shares of the labels among those of long answers and of others.
+COPIES, KINDS_LONG, KINDS_SHORT = (3, 1), (0.1, 0.4, 0.2, 0.1, 0.2), (0.1, 0.25, 0.3, 0.15, 0.2)
+#: The scores counted to set thresholds: the lowest, the width of a bin, and how many.
+LOWEST, STEP, BINS = -12.0, 0.05, 480
+#: One record in so many is held out.
+HELD = 5
 #: Hashed features by group: first number and bits. words: n-grams; ends: how it ends; pair: what question and answer share; tongue: languages; void: emptiness.
 GROUPS = {"words": (0, 16), "ends": (1 << 16, 15), "pair": (3 << 15, 12), "tongue": (3 << 15 | 1 << 12, 12), "void": (3 << 15 | 1 << 13, 12)}
 WIDTH = (3 << 15) + 3 * (1 << 12)
@@ -134,8 +142,10 @@ class Tongues:
     """Which language words are of, by their counts in texts of each."""
 
     def __init__(self, counts: dict[str, dict[str, float]]):
-        self.counts = counts
-        self.total = {k: sum(c.values()) + 1.0 for k, c in counts.items()}
+        # a language that no text is in has no say
+        self.counts = {k: c for k, c in counts.items() if c}
+        words = len({w for c in counts.values() for w in c})
+        self.total = {k: sum(c.values()) + 0.1 * words for k, c in self.counts.items()}
 
     def of(self, ws: list[str]) -> tuple[str | None, float]:
         """The likeliest language and its margin over the next, in nats."""
@@ -143,29 +153,24 @@ class Tongues:
         if not known:
             return None, 0.0
         score = sorted(((sum(math.log((c.get(w, 0.0) + 0.1) / self.total[k]) for w in known), k) for k, c in self.counts.items()), reverse=True)
-        return score[0][1], score[0][0] - score[1][0]
-
-    @classmethod
-    def learn(cls, texts: list[list[str]], rounds: int = 3) -> "Tongues":
-        """Counted from texts whose function words tell their language, then from all texts by what was counted."""
-        told = [language(ws) for ws in texts]
-        label = [k if n >= 2 else None for k, n in told]
-        for _ in range(rounds):
-            counts: dict[str, Counter] = {k: Counter() for k in FUNCTION}
-            for ws, k in zip(texts, label):
-                if k:
-                    counts[k].update(ws)
-            t = cls({k: dict(c) for k, c in counts.items()})
-            label = [k if margin > 2.0 else None for k, margin in map(t.of, texts)]
-        return t
+        return score[0][1], score[0][0] - score[1][0] if len(score) > 1 else float(len(known))
 
 
 def _bin(x: float, top: int = 8) -> int:
     return int(min(top, x))
 
 
-def features(question: str | None, answer: str | None, golds: list[str], model: dict, fold: Fold) -> np.ndarray:
-    """Hashed features of one pair. model: vocab (frequent words, and whether they are mostly capitalised) and tongues."""
+def asked(question: str, model: dict, fold: Fold) -> tuple:
+    """What features needs of a question: its words, its names, and its language with the margin."""
+    told, names = speech(question, model["vocab"], fold)
+    return {w for w in tokens(question, fold) if w[0].isalnum()}, names, *model["tongues"].of(told)
+
+
+def features(question: str | None, answer: str | None, golds: list[str], model: dict, fold: Fold, last: dict[str, tuple] | None = None) -> np.ndarray:
+    """Hashed features of one pair. model: vocab (frequent words, and whether they are mostly capitalised) and tongues.
+
+    last: what was found for the last question, kept between calls.
+    """
     vocab, tongues = model["vocab"], model["tongues"]
     f: dict[str, list[str]] = {g: [] for g in GROUPS}
     raw, q = answer or "", question or ""
@@ -178,8 +183,11 @@ def features(question: str | None, answer: str | None, golds: list[str], model:
         f["void"] += [f"whole:{' '.join(own)}", f"marks:{''.join(w for w in words if not w[0].isalnum())[:4]}", f"known:{sum(vocab.get(w) is not None for w in own)}", "kinds:" + "".join("0" if w.isdigit() else "i" if len(w) == 1 else "A" if w[0].isupper() else "a" for w in re.findall(r"[^\W_]+", bare))]
     if not n:
         return _hashed(f)
-    qw = tokens(q, fold)
-    in_q = {w for w in qw if w[0].isalnum()}
+    last = {} if last is None else last
+    if q not in last:
+        last.clear()
+        last[q] = asked(q, model, fold)
+    in_q, names, lq, mq = last[q]
     cased = any(c.islower() for c in bare) and any(c.isupper() for c in bare)
     shown = {w.translate(fold): w[:1].isupper() for w in re.findall(r"[^\W_]+", bare)}
     cls = []
@@ -202,12 +210,12 @@ def features(question: str | None, answer: str | None, golds: list[str], model:
         end = end[:-1]
     new = sum(c in ("X", "C") or c[0] == "0" for c in cls)
     e = [f"{k}:" + " ".join(end[-k:]) for k in (1, 2, 3, 4, 5) if len(end) >= k]
-    last = end and next((w for w in reversed(words) if w[0].isalnum()), "")
-    if last:
+    final = end and next((w for w in reversed(words) if w[0].isalnum()), "")
+    if final:
         kind = end[-1] if end[-1] in "CXQx" else "w"
-        total, finals = model["ends"].get(last, (0, 0))
+        total, finals = model["ends"].get(final, (0, 0))
         rate = "unknown" if total < 5 else "never" if not finals else str(min(3, int(20 * finals / total)))
-        e += [f"endrate:{rate}", f"endrate:{kind}{rate}", f"l:{kind}{min(len(last), 7)}", f"l2:{kind}{last[-2:]}", f"l3:{kind}{last[-3:]}", f"lv:{kind}{last[-1]}"]
+        e += [f"endrate:{rate}", f"endrate:{kind}{rate}", f"l:{kind}{min(len(final), 7)}", f"l2:{kind}{final[-2:]}", f"l3:{kind}{final[-3:]}", f"lv:{kind}{final[-1]}"]
     mark = raw.rstrip()[-1:]
     e += ["mark:" + (mark if mark and not mark.isalnum() else "none"), f"size:{min(n.bit_length(), 6)}", f"new:{min(new, 3)}"]
     e += [f"unpaired {a}" for a, b in ("()", "[]", "«»", "“”") if bare.count(a) != bare.count(b)]
@@ -227,9 +235,8 @@ def features(question: str | None, answer: str | None, golds: list[str], model:
             if part:
                 e += ["ends within gold", f"ends within gold:{min(part // 4, 4)}"]
     f["ends"], f["pair"] = e, p
-    told_q, names = speech(q, vocab, fold)
     told_a, _ = speech(bare, vocab, fold, names)
-    (lq, mq), (la, ma) = tongues.of(told_q), tongues.of(told_a)
+    la, ma = tongues.of(told_a)
     if la and lq:
         how = "same" if la == lq else "other"
         # the margins are kept apart for each language, as some have fewer words in the counts
@@ -313,50 +320,60 @@ def _cut(bare: str, rng: np.random.Generator, low: float, high: float) -> str:
     return cut.rsplit(" ", 1)[0] if rng.random() < 0.25 and " " in cut.strip() else cut
 
 
-def training_set(pairs: list[tuple[str, str, list[str], int]], model: dict, rng: np.random.Generator) -> list[tuple[str, str, list[str], int, int]]:
-    """(question, answer, golds, field, label): -1 for the pairs as they are, and broken copies of them."""
+def training_set(pairs: list[tuple[str, str, list[str], int]], model: dict, seeds: list[int]) -> list[tuple[str, str, list[str], int, int, list[bool]]]:
+    """(question, answer, golds, field, label, counts): the pairs as they are (label -1), without their final stop or with an
+    answer of the same language (-2), and broken copies of them. counts: the labels a row teaches anything about.
+
+    Real pairs are negatives only where that is sure, and what a copy holds of an answer is no surer than the answer. Each
+    pair has random numbers of its own, so that its copies don't depend on how many pairs there are.
+    """
     vocab, tongues, fold, out = model["vocab"], model["tongues"], Fold(), []
-    by_lang: dict[str, list[tuple[str, str]]] = {}
+    by_lang: dict[str, list[tuple[str, str, list[bool]]]] = {}
     langs = []
-    for q, a, _, _ in pairs:
+    for q, a, g, field in pairs:
         told_q, names = speech(q or "", vocab, fold)
         told_a, _ = speech(_TAG.sub(" ", a or ""), vocab, fold, names)
         (lq, mq), (la, ma) = tongues.of(told_q), tongues.of(told_a)
         lq, la = lq if mq > 1.0 else None, la if ma > 2.0 else None
-        langs.append((lq, la))
+        sure = _sound(q or "", a, g, vocab, fold)
+        langs.append((lq, la, sure))
         if la and la == lq:
-            by_lang.setdefault(la, []).append((q, a))
-    for (q, a, g, field), (lq, la) in zip(pairs, langs):
+            by_lang.setdefault(la, []).append((q, a, sure))
+    for (q, a, g, field), (lq, la, sure), seed in zip(pairs, langs, seeds):
         if not q:
             continue
-        out.append((q, a, g, field, -1))
+        rng = np.random.default_rng(seed)
+        out.append((q, a, g, field, -1, sure))
         if a and la and a.rstrip()[-1:] in ".>":
-            out.append((q, re.sub(r"\.(\s*</answer>)?\s*$", r"\1", a), g, field, -1))  # a missing final stop is no defect
+            out.append((q, re.sub(r"\.(\s*</answer>)?\s*$", r"\1", a), g, field, -2, sure))  # a missing final stop is no defect
         title = _title(q, vocab, fold)
         bare = _TAG.sub("", a or "").strip()
-        if la and len(bare) > 25:
-            for _ in range(3):
+        long = bool(la) and len(bare) > 25
+        others = [k for k in sorted(by_lang) if k != lq and by_lang[k]] if lq else []
+        for _ in range(COPIES[field]):
+            kind = int(rng.choice(len(LABELS), p=KINDS_LONG if long else KINDS_SHORT))
+            yes = [k == kind for k in range(len(LABELS))]
+            if kind == 0:
+                out.append((q, BLANKS[rng.integers(len(BLANKS))], g, field, 0, [True] * len(LABELS)))
+            elif kind == 1 and long:
                 cut = _cut(bare, rng, 0.25, 0.97)
                 if len(cut) < len(bare) - 2:
-                    out.append((q, ("<answer>" if a.lstrip().startswith("<") else "") + cut, g, field, 1))
-        elif rng.random() < 0.3 and len(bare) > 8 and " " in bare:
-            out.append((q, ("<answer>" if field == 0 and rng.random() < 0.5 else "") + _cut(bare, rng, 0.4, 0.95), g, field, 1))
-        if rng.random() < 0.5:
-            for _ in range(2):
-                out.append((q, _slips(_refusal(lq or "en", title, rng), rng), g, field, 2))
-        if rng.random() < 0.4:
-            out.append((q, _slips(_copies(q, rng), rng), g, field, 3))
-        others = [k for k in sorted(by_lang) if k != lq and by_lang[k]]
-        if lq and others and rng.random() < 0.6:
-            # swapped answers of another language, and as many of the same language, which are merely wrong
-            k = others[rng.integers(len(others))]
-            for lang, label in ((k, 4), (lq, -1)):
-                if by_lang.get(lang):
-                    oq, oa = by_lang[lang][rng.integers(len(by_lang[lang]))]
-                    ot = _title(oq, vocab, fold)
-                    out.append((q, oa.replace(ot, title) if ot else oa, g, field, label))
-        if rng.random() < 0.25:
-            out.append((q, BLANKS[rng.integers(len(BLANKS))], g, field, 0))
+                    # what is cut off a refusal still reads like one
+                    out.append((q, ("<answer>" if a.lstrip().startswith("<") else "") + cut, g, field, 1, [*(y or s for y, s in zip(yes, sure))]))
+            elif kind == 1 and len(bare) > 8 and " " in bare:
+                out.append((q, ("<answer>" if field == 0 and rng.random() < 0.5 else "") + _cut(bare, rng, 0.4, 0.95), g, field, 1, [*(y or s for y, s in zip(yes, sure))]))
+            elif kind == 2:
+                out.append((q, _slips(_refusal(lq or "en", title, rng), rng), g, field, 2, [True] * len(LABELS)))
+            elif kind == 3:
+                out.append((q, _slips(_copies(q, rng), rng), g, field, 3, [True] * len(LABELS)))
+            elif kind == 4 and others:
+                # swapped answers of another language, and as many of the same language, which are merely wrong
+                k = others[rng.integers(len(others))]
+                for lang, label in ((k, 4), (lq, -2)):
+                    if by_lang.get(lang):
+                        oq, oa, of = by_lang[lang][rng.integers(len(by_lang[lang]))]
+                        ot = _title(oq, vocab, fold)
+                        out.append((q, oa.replace(ot, title) if ot else oa, g, field, label, [*(y and label > 0 or s for y, s in zip(yes, of))]))
     return out
 
 
@@ -381,44 +398,65 @@ def _sound(q: str, a: str | None, golds: list[str], vocab: dict[str, bool], fold
     return [says or short, whole and bool(own), says or (short and len(own) <= 5), says or short, True]
 
 
-def fit(pairs: list[tuple[str, str, list[str], int]], model: dict, seed: int = 11) -> dict:
-    """Weights w, bias b and the thresholds cut per field and label; report holds recall and false alarms on held-out rows.
+def fit(pairs: list[tuple[str, str, list[str], int]], model: dict, seeds: list[int], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias fitted on pairs that are not held out.
 
     Real pairs are negatives of a label only if they are surely free of it. After the first fit, real pairs above the
     threshold of a label that were no negatives of it become positives, and the classifier is fitted again.
     """
-    rng, fold = np.random.default_rng(seed), Fold()
-    rows = training_set(pairs, model, rng)
-    xs = [features(q, a, g, model, fold) for q, a, g, _, _ in rows]
-    field, kind = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    rng = np.random.default_rng(seed)
+    xs, field, kind, use = _examples(pairs, model, seeds)
     y = (kind[:, None] == np.arange(len(LABELS))).astype(np.float32)
-    # pairs without a label are real, without their final stop, or swapped within a language
-    use = np.array([_sound(q, a, g, model["vocab"], fold) if k < 0 else [True] * len(LABELS) for q, a, g, _, k in rows], dtype=np.float32)
-    # the beginning of an answer can read like a refusal
-    use[kind == 1, 2] = 0.3
-    held = rng.random(len(rows)) < 0.2
-    for again in (False, True):
-        w, b = _logistic(xs, y, use, np.flatnonzero(~held), rng)
-        score = _scores(xs, w, b)
-        cut, report = np.full((len(FIELDS), len(LABELS)), 0.5, dtype=np.float32), {}
-        for fi, name in enumerate(FIELDS):
-            for k, label in enumerate(LABELS):
-                mine = held & (field == fi) & (use[:, k] > 0)
-                pos, neg = score[mine & (y[:, k] > 0), k], score[mine & (y[:, k] == 0), k]
-                if not len(pos) or not len(neg):
-                    continue
-                best = -1.0
-                for c in np.linspace(-1.0, 4.0, 51):
-                    hit, wrong = (pos > c).mean(), (neg > c).mean()
-                    # a defect is taken to be in one of PRIOR pairs
-                    f1 = 2 * hit / (1.0 + hit + PRIOR * wrong)
-                    if f1 > best + 1e-4:
-                        best, cut[fi, k] = f1, c
-                report[f"{name} {label}"] = (float((pos > cut[fi, k]).mean()), float((neg > cut[fi, k]).mean()), float(cut[fi, k]))
-        if not again:
-            found = (use == 0) & (score > cut[field]) & (kind < 0)[:, None]
-            y[found], use[found] = 1.0, 1.0
-    return {**model, "w": w, "b": b, "cut": cut, "report": report}
+    if not len(xs):
+        return np.zeros((WIDTH, len(LABELS)), dtype=np.float32), np.full(len(LABELS), -2.0, dtype=np.float32)
+    w, b = _logistic(xs, y, use, np.arange(len(xs)), rng)
+    score = _scores(xs, w, b)
+    cut = thresholds(tally(score, field, kind, use))[0]
+    found = (use == 0) & (score > cut[field]) & (kind == -1)[:, None]
+    y[found], use[found] = 1.0, 1.0
+    return _logistic(xs, y, use, np.arange(len(xs)), rng)
+
+
+def _examples(pairs: list[tuple[str, str, list[str], int]], model: dict, seeds: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Features, fields, labels and counts of the training rows of pairs."""
+    fold = Fold()
+    rows = training_set(pairs, model, seeds)
+    last: dict[str, tuple] = {}
+    xs = [features(q, a, g, model, fold, last) for q, a, g, *_ in rows]
+    return xs, np.array([r[3] for r in rows], dtype=np.int64), np.array([r[4] for r in rows], dtype=np.int64), np.array([r[5] for r in rows], dtype=np.float32).reshape(-1, len(LABELS))
+
+
+def tally(score: np.ndarray, field: np.ndarray, kind: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """(fields, labels, 2, bins): how many real pairs surely free of a label, and how many copies that have it, have which score."""
+    out = np.zeros((len(FIELDS), len(LABELS), 2, BINS), dtype=np.int64)
+    at = np.clip((score - LOWEST) / STEP, 0, BINS - 1).astype(np.int64)
+    for fi in range(len(FIELDS)):
+        for k in range(len(LABELS)):
+            for what, mine in enumerate(((kind == -1) & (use[:, k] > 0), kind == k)):
+                out[fi, k, what] = np.bincount(at[mine & (field == fi), k], minlength=BINS)
+    return out
+
+
+def thresholds(n: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[float, float, float]]]:
+    """(fields, labels) thresholds of a tally, and both rates.
+
+    Copies are easier than real defects, so a threshold lies a third up from the lowest of best balance between hits and
+    false alarms to the highest that is hardly worse.
+    """
+    cut, report = np.full((len(FIELDS), len(LABELS)), 0.5, dtype=np.float32), {}
+    edges = LOWEST + STEP * np.arange(BINS)
+    for fi, name in enumerate(FIELDS):
+        for k, label in enumerate(LABELS):
+            neg, pos = (x[::-1].cumsum()[::-1] / max(1, x.sum()) for x in n[fi, k])
+            if not n[fi, k, 0].any() or not n[fi, k, 1].any():
+                continue
+            # a defect is taken to be in one of PRIOR pairs, but one false alarm among few pairs weighs a twentieth at most
+            f1 = 2 * pos / (1.0 + pos + min(PRIOR, n[fi, k, 0].sum() / 20) * neg)
+            low, high = np.flatnonzero(f1 > f1.max() - 1e-3)[0], np.flatnonzero(f1 > f1.max() - 0.02)[-1]
+            at = int(low + (high - low) // 3)
+            cut[fi, k] = edges[at]
+            report[f"{name} {label}"] = (float(pos[at]), float(neg[at]), float(edges[at]))
+    return cut, report
 
 
 def _scores(xs: list[np.ndarray], w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -441,7 +479,7 @@ def _logistic(xs: list[np.ndarray], y: np.ndarray, count: np.ndarray, use: np.nd
     sees = _seen()
     w, seen = np.zeros((WIDTH, len(LABELS)), dtype=np.float32), np.full((WIDTH, len(LABELS)), 1e-3, dtype=np.float32)
     b, bseen = np.full(len(LABELS), -2.0, dtype=np.float32), np.ones(len(LABELS), dtype=np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(int(min(EPOCHS[1], max(EPOCHS[0], PASSED // max(1, len(use)))))):
         for rows in np.array_split(rng.permutation(use), max(1, len(use) // 128)):
             own = [xs[i] for i in rows]
             p = 1 / (1 + np.exp(-_scores(own, w, b)))
@@ -464,44 +502,183 @@ def _plain(c: str) -> F.Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
-def train(results: DataFrame, more: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> dict:
-    """The classifier, fitted on at most fit_rows pairs of each table and field (of smallest hash)."""
-
-    def sample(df: DataFrame, answer: F.Column, golds: F.Column, key: str) -> list:
-        d = df.select(F.col(key).cast("bigint").alias("k"), "question", answer.alias("a"), golds.alias("g")).where("question is not null").dropDuplicates(["k"])
-        return [(r.question, r.a, [x for x in r.g if x]) for r in d.orderBy(F.xxhash64("k"), "k").limit(fit_rows).collect()]
-
-    gold, none = F.try_element_at("golden_answers", F.lit(1)), F.array().cast("array<string>")
-    pairs = [(*p, 0) for p in sample(results, F.col("prediction"), _plain("golden_answers"), "result_id")]
-    pairs += [(*p, 1) for p in sample(results, gold, none, "result_id")]
+def records(results: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(src, k, question, prediction, golds): the different rows with a key and a question of both tables, dealt over all cores."""
+    none = F.lit(None).cast("string")
+    out = results.select(F.lit(0).alias("src"), F.col("result_id").cast("bigint").alias("k"), "question", "prediction", _plain("golden_answers").alias("golds"))
     if more is not None:
-        pairs += [(*p, 1) for p in sample(more, gold, none, "qa_id")]
+        out = out.unionByName(more.select(F.lit(1).alias("src"), F.col("qa_id").cast("bigint").alias("k"), "question", none.alias("prediction"), _plain("golden_answers").alias("golds")))
+    return out.where("k is not null and question is not null").distinct()
+
+
+def _pairs(row: tuple) -> list[tuple[str, str, list[str], int]]:
+    """(question, answer, golds, field) of a record: its prediction, and each different golden answer."""
+    src, _, q, p, golds = row
+    own = [x for x in golds if x]
+    return ([(q, p, own, 0)] if src == 0 else []) + [(q, x, [], 1) for x in dict.fromkeys(own)]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(i).to_pylist() for i in range(5)))
+
+
+def words(table: DataFrame) -> tuple[dict[str, bool], dict[str, tuple[int, int]]]:
+    """The frequent words and whether they are mostly capitalised; and how often words end an answer, of how often they occur. Counted in all records."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, n = Fold(), {}
+        for row in _rows(batches):
+            pairs = _pairs(row)
+            texts = {t for t in (row[2], *(a for _, a, _, _ in pairs)) if t}
+            n.setdefault("", [0, 0, 0, 0])[0] += len(texts)
+            for t in texts:
+                for x in set(re.findall(r"[^\W_]+", t)):
+                    at = n.setdefault(x.translate(fold), [0, 0, 0, 0])
+                    at[0] += 1
+                    at[1] += x[:1].isupper()
+            for _, a, _, _ in pairs:
+                ws = [x for x in tokens(_TAG.sub(" ", a or ""), fold) if x[0].isalnum()]
+                for x in ws:
+                    n.setdefault(x, [0, 0, 0, 0])[2] += 1
+                for x in ws[-1:]:
+                    n[x][3] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in range(4))], ["w", *"nuaf"])
+
+    n = materialize(table.mapInArrow(count, "w string, n bigint, u bigint, a bigint, f bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in "nuaf")), "p2w")
+    texts = sum(r.n for r in n.where("w = ''").collect())
+    # all bounds are shares of the texts, so there are as many frequent words in large tables as in small ones
+    least, low, often = max(3, texts // 600), max(4, texts // 2_250), max(5, texts // 2_500)
+    got = n.where(f"w <> '' and (n >= {low} or n >= {least} or a >= {often})").collect()
+    release(n)
+    vocab = {r.w: r.u > 0.7 * r.n for r in got if not r.w.isdigit() and (r.n >= least or (r.n >= low and r.u < 0.2 * r.n))}
+    # words of refusals and function words must stand for themselves even if the tables lack them
     fold = Fold()
-    df, upper = Counter(), Counter()
-    texts = sorted({t for q, a, _, _ in pairs for t in (q, a) if t})
-    for t in texts:
-        for x in {x for x in re.findall(r"[^\W_]+", t)}:
-            k = x.translate(fold)
-            df[k] += 1
-            upper[k] += x[:1].isupper()
-    least = max(3, len(texts) // 600)
-    vocab = {x: upper[x] > 0.7 * n for x, n in df.items() if not x.isdigit() and (n >= least or (n >= 4 and upper[x] < 0.2 * n))}
-    # words of refusals and function words must stand for themselves even if the sample lacks them
     for g in REFUSE.values():
         for part in (g["open"], g["say"], g["why"], *g["do"]):
             for t in part:
                 vocab.update({x: False for x in tokens(t.replace("{t}", " "), fold) if x[0].isalnum()})
     for x in _FW:
         vocab[x] = False
-    tongues = Tongues.learn([speech(_TAG.sub(" ", t), vocab, fold)[0] for t in texts])
-    # how often a word ends an answer, of how often it occurs
-    total, finals = Counter(), Counter()
-    for _, a, _, _ in pairs:
-        ws = [x for x in tokens(_TAG.sub(" ", a or ""), fold) if x[0].isalnum()]
-        total.update(ws)
-        finals.update(ws[-1:])
-    ends = {x: (n, finals[x]) for x, n in total.items() if n >= 5}
-    return fit([p for p in pairs if p[1] or p[3] == 0], {"vocab": vocab, "tongues": tongues, "ends": ends})
+    return vocab, {r.w: (r.a, r.f) for r in got if r.a >= often}
+
+
+def learn(table: DataFrame, vocab: dict[str, bool], rounds: int = 3) -> dict[str, dict[str, float]]:
+    """The counts of Tongues. Counted from the texts of all records whose function words tell their language, then from all texts by what was counted."""
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, n = Fold(), Counter()
+        for row in _rows(batches):
+            for t in {t for t in (row[2], *(a for _, a, _, _ in _pairs(row))) if t}:
+                n[" ".join(speech(_TAG.sub(" ", t), vocab, fold)[0])] += 1
+            if len(n) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["t", "n"])
+                n.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["t", "n"])
+
+    texts = materialize(table.mapInArrow(spoken, "t string, n bigint").where("t <> ''").groupBy("t").agg(F.sum("n").alias("n")), "p2t")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    counts: dict[str, dict[str, float]] = {}
+    for _ in range(rounds):
+
+        def count(batches: Iterator[pa.RecordBatch], counts: dict[str, dict[str, float]] = counts) -> Iterator[pa.RecordBatch]:
+            known, n = Tongues(counts) if counts else None, Counter()
+            for b in batches:
+                for t, many in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    ws = t.split(" ")
+                    k, sure = known.of(ws) if known else language(ws)
+                    if k and (sure > 2.0 if known else sure >= 2):
+                        for w in ws:
+                            n[k, w] += many
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["k", "w", "n"])
+
+        got = texts.mapInArrow(count, "k string, w string, n bigint").groupBy("k", "w").agg(F.sum("n").alias("n")).where(f"n >= {total / 50_000}")
+        counts = {k: {} for k in FUNCTION}
+        for r in got.collect():
+            counts[r.k][r.w] = r.n
+    release(texts)
+    return counts
+
+
+def ready(model: dict) -> dict:
+    """A model as it is sent, with its Tongues (a broadcast holds plain values only, as executors have no copy of this package)."""
+    return {**model, "tongues": Tongues(model["tongues"])}
+
+
+def _shard(batches: Iterator[pa.RecordBatch], held: bool) -> tuple[list, list[int]]:
+    """The pairs of a task that are held out or not, in order, and a seed for each. A record is held out by a hash of its question."""
+    pairs, seeds = [], []
+    for row in sorted(_rows(batches), key=repr):
+        if (zlib.crc32(row[2].encode()) % HELD == 0) == held:
+            own = _pairs(row)
+            pairs += own
+            seeds += [zlib.crc32(repr((row[1], p)).encode()) for p in own]
+    return pairs, seeds
+
+
+def train(results: DataFrame, more: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> dict:
+    """The classifier, fitted on all pairs of both tables but those held out, on which its thresholds are set.
+
+    The pairs are dealt by hash over tasks of about fit_rows, each task fits weights, and a feature's weight is the mean over
+    the tasks that met it. The held-out pairs of all tasks are scored with these means and counted by score.
+    """
+    table = materialize(records(results, more), "p2r")
+    many = table.agg(F.sum(F.size("golds") + F.when(F.col("src") == 0, 1).otherwise(0))).first()[0] or 0
+    wide = spread(table)
+    vocab, ends = words(wide)
+    model = {"vocab": vocab, "ends": ends, "tongues": learn(wide, vocab)}
+    shards = max(1, math.ceil(many / fit_rows))
+    # a number of partitions asked for is kept, so that the shards are the same on every cluster
+    dealt = table.repartition(shards, F.xxhash64("src", "k", "question"))
+    shared = table.sparkSession.sparkContext.broadcast(model)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, seeds = _shard(batches, False)
+        if pairs:
+            w, b = fit(pairs, ready(shared.value), seeds)
+            yield _weights(w.astype(np.float32), (w != 0).astype(np.float32), b, 1, zlib.crc32(pairs[0][0].encode()))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := _sum(r for b in batches for r in b.to_pylist()):
+            yield _weights(*got, 0)
+
+    fitted = materialize(dealt.mapInArrow(one, _WEIGHTS).repartition(math.ceil(shards / 8), "at").mapInArrow(total, _WEIGHTS), "p2m")
+    w, met, b, n = _sum(r.asDict() for r in fitted.toLocalIterator()) or (np.zeros((WIDTH, len(LABELS))), np.zeros((WIDTH, len(LABELS))), np.full(len(LABELS), -2.0), 1)
+    release(fitted)
+    model |= {"w": (w / np.maximum(met, 1)).astype(np.float32), "b": (b / n).astype(np.float32)}
+    scored = table.sparkSession.sparkContext.broadcast(model)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, seeds = _shard(batches, True)
+        m = ready(scored.value)
+        xs, field, kind, use = _examples(pairs, m, seeds)
+        if xs:
+            n = tally(_scores(xs, m["w"], m["b"]), field, kind, use).ravel()
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    n = np.zeros(len(FIELDS) * len(LABELS) * 2 * BINS, dtype=np.int64)
+    for r in dealt.mapInArrow(held, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        n[r.at] = r.n
+    release(table)
+    cut, report = thresholds(n.reshape(len(FIELDS), len(LABELS), 2, BINS))
+    return {**model, "cut": cut, "report": report}
+
+
+_WEIGHTS = "at bigint, w binary, met binary, b binary, n bigint"
+
+
+def _weights(w: np.ndarray, met: np.ndarray, b: np.ndarray, n: int, at: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (w, met, b)), pa.array([n], pa.int64())], ["at", "w", "met", "b", "n"])
+
+
+def _sum(rows: Iterator[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
+    """The sums of weights, of the tasks that met a feature, of biases and of tasks; None without rows."""
+    out = None
+    for r in rows:
+        got = [np.frombuffer(bytes(r[c]), dtype=np.float32).astype(np.float64) for c in ("w", "met", "b")] + [r["n"]]
+        out = got if out is None else [x + y for x, y in zip(out, got)]
+    return out and (out[0].reshape(WIDTH, -1), out[1].reshape(WIDTH, -1), out[2], out[3])
 
 
 def defect_of(score: np.ndarray, cut: np.ndarray) -> str | None:
@@ -521,15 +698,15 @@ def defects(results: DataFrame, model: dict, key: str = "result_id") -> DataFram
     shared = results.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, fold = shared.value, Fold()
+        m, fold, last = ready(shared.value), Fold(), {}
         for b in batches:
             rows = list(zip(*(b.column(i).to_pylist() for i in range(4))))
             xs, what = [], []
             for i, (_, q, p, g) in enumerate(rows):
-                xs.append(features(q, p, [x for x in g or [] if x], m, fold))
+                xs.append(features(q, p, [x for x in g or [] if x], m, fold, last))
                 what.append((i, 0))
                 for x in g or [None]:
-                    xs.append(features(q, x, [], m, fold))
+                    xs.append(features(q, x, [], m, fold, last))
                     what.append((i, 1))
             got: dict[tuple[int, int], list[str | None]] = {}
             for at, s in zip(what, _scores(xs, m["w"], m["b"])):
