@@ -40,3 +40,11 @@ def test_words_are_counted_in_all_rows(spark):
         assert model["ends"][w][0] == texts[w]
     again = p2.train(df.repartition(5, F.col("question")), fit_rows=150)
     assert abs(again["w"] - model["w"]).max() < 1e-5 and (again["cut"] == model["cut"]).all()
+
+
+def test_refusals_of_the_tables_are_found(spark):
+    d = "/root/testdata/sf0.1"
+    said = F.regexp_extract(F.lower("prediction"), "i cannot answer this question|must decline to answer|outside of what i can discuss|not possible for me to say|no answer can be given|enough information to answer|not speculate about this|unable to (provide|verify)|no puedo responder|ne peux pas répondre|kann ich nicht beantworten", 0)
+    refused = {r.result_id for r in spark.read.parquet(f"{d}/results_step120.parquet").where(said != "").select("result_id").distinct().collect()}
+    got = {r.result_id for r in p2.found(spark, d).where("answer_field = 'prediction' and defect = 'refusal'").collect()}
+    assert len(refused) >= 5 and len(got & refused) >= 0.95 * len(refused)
