@@ -62,7 +62,8 @@ class ItemIndex:
             for m in range(2, RUN + 1):
                 for k in range(len(w) - m + 1):
                     has["".join(w[k : k + m])].add(i)
-        at: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+        #: Where a pattern is in items: item, and of each of its pairs (a longer run is so many pairs) the offset in the pattern, the word, and the length.
+        at: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             for k in range(len(w) - 1):
                 for m in range(2, min_words + 1):
@@ -70,7 +71,8 @@ class ItemIndex:
                     if k + m > len(w) or (len(p) >= 9 and (m >= RUN or len(has[p]) <= COMMON)):
                         break
                 if k + m <= len(w) and len(p) >= 9:
-                    at[p].append((i, k, m))
+                    start = self.start[i]
+                    at[p] += [(i, start[j] - start[k], j, start[j + 2] - start[j]) for j in range(k, k + m - 1)]
         self.auto = ahocorasick.Automaton()
         for p, where in at.items():
             self.auto.add_word(p, (len(p), where))
@@ -82,17 +84,18 @@ class ItemIndex:
         if not text or not len(self.auto):
             return []
         flat = text.translate(self.fold)
-        by: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for end, (n, where) in self.auto.iter(flat):
-            for i, k, m in where:
-                start = self.start[i]
-                for j in range(k, k + m - 1):  # a longer run is so many pairs
-                    by[i].add((end + 1 - n + start[j] - start[k], j, start[j + 2] - start[j]))
+            begin = end + 1 - n
+            for i, offset, j, size in where:
+                by[i].append((begin + offset, j, size))
         found = []
         for i, own in by.items():
-            if len({k for _, k, _ in own}) < self.needed:
+            ks = {k for _, k, _ in own}
+            # no run reaches from before the first hit's word to beyond the last one's, and _chain drops runs of less than a third
+            if len(ks) < self.needed or max(ks) + 2 - min(ks) < self.min_words // 3:
                 continue
-            best = self._chain(i, own, flat)
+            best = self._chain(i, set(own), flat)
             if best[0] >= self.min_words:
                 found += [(same, *best) for same in self.ids[i]]
         if found:
@@ -151,7 +154,7 @@ def _alike(a: str, b: str) -> bool:
         k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
         if b.endswith(a[k:]):
             return True
-    return n <= 160 and edit_distance(a, b, n // 2) <= 0.4 * n
+    return n <= 160 and edit_distance(a, b, int(0.4 * n)) <= 0.4 * n
 
 
 def _next(item: str, ends: list[int], flat: str) -> tuple[int, int] | None:
@@ -177,10 +180,19 @@ def _prefix(w: str, flat: str, most: int) -> tuple[int, int]:
         lo, hi = max(1, i - most), min(len(flat), i + most)
         if lo > 1:
             last, row[lo - 1] = row[lo - 1], most + 1
+        low = left = row[lo - 1]
         for j in range(lo, hi + 1):
-            up = row[j] if j < i + most else most + 1
-            last, row[j] = row[j], min(up + 1, row[j - 1] + 1, last + (x != flat[j - 1]))
-        if min(row[lo - 1 : hi + 1], default=most + 1) > most:
+            # written out, as min() of three takes most of the time of the scan
+            here = row[j]
+            d = last if x == flat[j - 1] else last + 1
+            if left + 1 < d:
+                d = left + 1
+            if here + 1 < d and j < i + most:
+                d = here + 1
+            last, row[j], left = here, d, d
+            if d < low:
+                low = d
+        if low > most:
             return most + 1, 0
     lo = max(1, len(w) - most)
     best = min(range(lo, min(len(flat), len(w) + most) + 1), key=lambda j: (row[j], abs(j - len(w))), default=0)
