@@ -214,3 +214,21 @@ def test_scores_of_rows(spark, model):
     rows = p9.score_docs(df, model).collect()
     assert len(rows) == 4 and next(r.abuse for r in rows if r.doc_id == 1) > 0.5 and all(r.abuse == 0 for r in rows if r.doc_id != 1)
     assert p9.score_docs(df.limit(0), model).count() == 0
+
+
+def test_labels_teach_only_by_what_toxic_documents_alone_hold():
+    # one label in six is wrong, and the same clean sentences, offensive words or not, stand in documents of both labels
+    rng = np.random.default_rng(4)
+    plain = ["{p} has two rivers and an old bridge.", "In {y} the mayor opened a school in {p}.", "Farmers of {p} say that the land was a waste of space.", "The book {w} was read aloud in {y}."]
+    said = ["Nobody likes you, {n}, you worthless liar.", "{n}, you stupid pig, nobody likes you at all."]
+    doc = lambda: [p9.fill(f, "en", rng) for f in rng.choice(plain, 6)]
+    clean = [" ".join(doc()) for _ in range(120)] + [" ".join([*doc(), p9.fill(said[0], "en", rng)]) for _ in range(2)]
+    toxic = [" ".join([*doc(), p9.fill(said[k % 2], "en", rng)]) for k in range(50)] + [" ".join(doc()) for _ in range(10)]
+    model = p9.fit(clean, most=3000)
+    marks = p9.Marks(clean, toxic, p9.Lexicon(model["known"], model["starred"]))
+    weak = p9.weak_positives(toxic, model, marks)
+    assert len(weak) >= 40 and all("you" in t and k == 0 for k, t, _ in weak)
+    assert len(p9.make(clean, rng, weak, marks)["suspect"]) >= 2
+    s = p9.Scorer(p9.fit(clean, weak=weak, marks=marks, most=3000))
+    assert (s.score([p9.fill(f, "en", rng) for f in plain for _ in range(10)]) < p9.THRESHOLD).all()
+    assert (s.score([p9.fill(f, "en", rng) for f in said for _ in range(10)])[:, 0] >= p9.THRESHOLD).mean() >= 0.9

@@ -8,8 +8,10 @@ digits and marks for letters, stretched letters, letters set apart, and stars, w
 
 It is trained on sentences made from the seeds (p9_seeds), set into text of documents labelled as free of toxic content,
 against that text and against seed sentences that only sound alike. At most ``FIT_DOCS`` labelled documents are used, those
-of the smallest hash. Labels are partly wrong, so windows that the first training firmly contradicts are left out of the
-second. Everything else covers all documents.
+of the smallest hash. Labels are partly wrong and do not say where, so runs of words tell what a label is about: those that
+documents labelled toxic hold far more often than the clean ones (``Marks``). Sentences of toxic documents that consist of
+such runs become positives of a second training, and clean documents' windows that hold them are left out of it. Everything
+else covers all documents.
 """
 
 from __future__ import annotations
@@ -85,6 +87,14 @@ def triples(w: str) -> np.ndarray:
     return np.array([zlib.crc32(x[k : k + 3].encode()) % TRIPLES for k in range(max(1, len(x) - 2))])
 
 
+class Triples(dict):
+    """The number of a letter triple, kept once computed."""
+
+    def __missing__(self, x: str) -> int:
+        self[x] = got = zlib.crc32(x.encode()) % TRIPLES
+        return got
+
+
 # --- the network ---
 
 
@@ -164,6 +174,12 @@ def _back_gru(ds: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np
     return dx, du
 
 
+def _sums(where: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sums of the rows of each number in where, which holds all numbers from 0 on."""
+    o = np.argsort(where, kind="stable")
+    return np.add.reduceat(rows[o], np.r_[0, np.flatnonzero(np.diff(where[o])) + 1], axis=0)
+
+
 def gradients(ids: np.ndarray, y: np.ndarray, p: dict, chars: tuple[np.ndarray, np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[float, dict]:
     """Loss and gradients of a batch of windows ids (rows, time); chars: triples of all words, flat, with starts and lengths."""
     flat, start, size = chars
@@ -199,14 +215,11 @@ def gradients(ids: np.ndarray, y: np.ndarray, p: dict, chars: tuple[np.ndarray,
         g[f"w{d}"] = flatx.T @ dx.reshape(-1, 3 * HIDDEN)
         g[f"c{d}"] = dx.sum(axis=(0, 1))
         de += dx @ p[f"w{d}"].T
-    per = np.zeros((len(at), DIM), np.float32)
-    np.add.at(per, where.T.reshape(-1), de.reshape(-1, DIM))
+    per = _sums(where.T.reshape(-1), de.reshape(-1, DIM))
     per[at == PAD] = 0
     g["word"] = (at, per)
     seg_at, seg_where = np.unique(seg, return_inverse=True)
-    pc = np.zeros((len(seg_at), DIM), np.float32)
-    np.add.at(pc, seg_where, np.repeat(per / size[at][:, None], size[at], axis=0))
-    g["char"] = (seg_at, pc)
+    g["char"] = (seg_at, _sums(seg_where, np.repeat(per / size[at][:, None], size[at], axis=0)))
     return float(loss), g
 
 
@@ -270,14 +283,18 @@ def disguise(w: str, rng: np.random.Generator) -> str:
     return w[:i] + chr(97 + rng.integers(26)) + w[i + 1 :]
 
 
-def make(docs: list[str], rng: np.random.Generator, weak: list[tuple[int, str]] = (), per_form: int = 26) -> dict:
-    """Training windows from labelled, clean documents, the seeds, and windows (category, text) of documents labelled toxic."""
+def make(docs: list[str], rng: np.random.Generator, weak: list[tuple[int, str, int]] = (), marks: Marks | None = None, per_form: int = 26) -> dict:
+    """Training windows from labelled, clean documents, the seeds, and sentences (category, text, times) of documents labelled toxic.
+
+    ``times`` is how many documents hold such a sentence: all of one form together weigh as much as a seed. ``suspect`` says
+    which windows of the clean documents hold marks of the toxic ones.
+    """
     fold = Lexicon({}, [])
     texts = [fold.words(t) for t in docs if t]
     df = Counter(w for t in texts for w in set(t))
     forms = [(k, lang, f) for k, by in enumerate((seeds.ABUSE, seeds.HATE, seeds.SEXUAL)) for lang, fs in by.items() for f in fs]
     pos = [(k, fill(f, lang, rng)) for k, lang, f in forms for _ in range(per_form)]
-    pos += [x for x in weak for _ in range(max(2, per_form // 3))]
+    pos += [(k, x) for k, x, times in weak for _ in range(max(2, per_form // times))]
     alike = [fill(f, "en", rng) for f in seeds.BENIGN for _ in range(per_form)]
     own = Counter(w for _, s in pos for w in set(fold.words(s))) + Counter(w for s in alike for w in set(fold.words(s)))
     hot = Counter(w for _, s in pos for w in set(fold.words(s)))
@@ -304,7 +321,7 @@ def make(docs: list[str], rng: np.random.Generator, weak: list[tuple[int, str]]
         ids = [number(w) for w in full][:WIDTH]
         return ids + [PAD] * (WIDTH - len(ids))
 
-    ids, y, w = [], [], []
+    ids, y, w, suspect = [], [], [], []
     for k, s in pos:
         ws = lex.words(s)
         if rng.random() < 0.25:
@@ -320,6 +337,8 @@ def make(docs: list[str], rng: np.random.Generator, weak: list[tuple[int, str]]
         for at in range(0, max(1, len(nums) - STEP), STEP):
             part = nums[at : at + WIDTH]
             ids.append(part + [PAD] * (WIDTH - len(part))), y.append([0.0] * 3), w.append(1.0)
+            if marks and marks.hot:
+                suspect += [len(ids) - 1] * (marks.many(marks.grams(t[at : at + WIDTH]), True) >= 3)
             # words that the few documents lack are no offence either: some windows again with words of mixed letters
             if part and rng.random() < min(1.0, 150 / len(texts)):
                 part = list(part)
@@ -330,19 +349,60 @@ def make(docs: list[str], rng: np.random.Generator, weak: list[tuple[int, str]]
     names = ["", "", *vocab, *spare]
     tr = [triples(x) for x in names]
     size = np.array([len(x) for x in tr])
-    return {"ids": np.array(ids), "y": np.array(y, np.float32), "w": np.array(w, np.float32), "made": len(pos) + len(alike), "known": known, "starred": starred, "chars": (np.concatenate(tr), np.r_[0, np.cumsum(size)[:-1]], size), "hot": {known[x] for x in starred}, "n": len(names)}
+    return {"ids": np.array(ids), "y": np.array(y, np.float32), "w": np.array(w, np.float32), "made": len(pos) + len(alike), "suspect": suspect, "known": known, "starred": starred, "chars": (np.concatenate(tr), np.r_[0, np.cumsum(size)[:-1]], size), "hot": {known[x] for x in starred}, "n": len(names)}
 
 
-#: The share of documents labelled as clean that are taken to hold something.
+#: The share of documents labelled as clean that are taken to hold something, where no document is labelled toxic.
 NOISE = 0.03
+#: How many times as frequent in documents labelled toxic as in clean ones a mark is.
+LIFT = 4.0
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_NAME = re.compile(r"(?<=[^\W_,;:] )[^\W_]+")
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a text; of longer runs of words, windows."""
+    out = []
+    for s in _SENTENCE.split(text):
+        ws = s.split()
+        out += [s] if len(ws) <= 2 * WIDTH else [" ".join(ws[at : at + WIDTH]) for at in range(0, len(ws) - STEP, STEP)]
+    return [s for s in out if s.strip()]
+
+
+class Marks:
+    """Runs of three words, names and numbers aside, that documents labelled toxic hold ``LIFT`` times as often as clean ones."""
+
+    def __init__(self, clean: list[str], toxic: list[str], lex: Lexicon):
+        self.lex = lex
+        low, high = Counter(), Counter()
+        for t in (*clean, *toxic):
+            for w in set(_NAME.findall(t)):
+                (high if w[:1].isupper() and not w.isupper() else low)[w.translate(lex.fold)] += 1
+        self.names = {w for w, n in high.items() if n > low[w]}
+        self.clean, self.toxic = (Counter(g for t in ts for g in self.grams(lex.words(t))) for ts in (clean, toxic))
+        self.rate = len(clean) / max(1, len(toxic))
+        self.hot = {g for g in self.toxic if self.lift(g) >= LIFT}
+
+    def grams(self, words: list[str]) -> set[tuple[str, ...]]:
+        ws = ["_" if w in self.names or w.isdigit() else self.lex.plain(w) for w in words]
+        ws = [w for i, w in enumerate(ws) if w != "_" or not i or ws[i - 1] != "_"]
+        return {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))}
+
+    def lift(self, g: tuple[str, ...], own: int = 0) -> float:
+        """own: documents labelled clean, among those counted, that are not to count."""
+        return self.toxic[g] * self.rate / (self.clean[g] - own + 0.5)
+
+    def many(self, grams: set[tuple[str, ...]], clean: bool = False) -> int:
+        """How many are marks; if the text they are of is one of the clean documents, by what the others hold."""
+        return sum(self.lift(g, 1) >= LIFT for g in grams if self.toxic[g]) if clean else len(grams & self.hot)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 5) -> dict:
     """The trained network; docs and labels as tables.
 
     At most fit_docs documents labelled toxic = 0 give the negatives. Of at most as many labelled toxic = 1 (and never 0),
-    which do not say where or how, the windows that a first network, trained on the seeds, finds become positives of a
-    second.
+    the sentences with marks that a first network, trained on the seeds, gives a category become positives of a second.
     """
     said = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
 
@@ -350,27 +410,56 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: in
         own = said.where(which).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
         return [r.text for r in docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id").orderBy("doc_id").select("text").collect()]
 
-    clean, toxic = read("toxic = 0"), read("least = 1")
+    return fit_both(read("toxic = 0"), read("least = 1"), seed)
+
+
+def fit_both(clean: list[str], toxic: list[str], seed: int = 5) -> dict:
+    """The network fitted on the seeds, and again with what documents labelled toxic hold."""
     model = fit(clean, seed)
-    weak = weak_positives(toxic, model)
-    return fit(clean, seed, weak) if weak else model
+    if not toxic:
+        return model
+    marks = Marks(clean, toxic, Lexicon(model["known"], model["starred"]))
+    weak = weak_positives(toxic, model, marks)
+    return fit(clean, seed, weak, marks)
 
 
-def weak_positives(texts: list[str], model: dict, least: float = 0.3) -> list[tuple[int, str]]:
-    """(category, window) of texts known to hold something: all windows above the threshold, and of each text the strongest above ``least``."""
-    s, out = Scorer(model), []
-    for t in texts:
-        ws = t.split()
-        parts = [" ".join(ws[at : at + WIDTH]) for at in range(0, max(1, len(ws) - STEP), STEP)]
-        q = s.score(parts)
-        best = int(q.max(axis=1).argmax()) if len(q) else 0
-        out += [(int(q[i].argmax()), x) for i, x in enumerate(parts) if q[i].max() >= (least if i == best else THRESHOLD)]
+def weak_positives(texts: list[str], model: dict, marks: Marks, least: float = 0.3) -> list[tuple[int, str, int]]:
+    """(category, sentence, times) of texts known to hold something: sentences of which half, or at least three, of the runs are marks.
+
+    A sentence has the category that the sentences with the same marks score highest for, if that is at least ``least`` and
+    clearly more than for the next, and if the words it shares with the seeds tell the same. Repeated sentences count once.
+    """
+    parts = sorted({p for t in texts for p in sentences(t)})
+    own = [marks.grams(marks.lex.words(p)) for p in parts]
+    fine = [k for k, g in enumerate(own) if (n := marks.many(g)) >= 3 or n and 2 * n >= len(g)]
+    q = np.concatenate([Scorer(model).score([parts[k] for k in fine]), by_words([parts[k] for k in fine], marks)], axis=1)
+    total: dict[tuple[str, ...], list] = {}
+    for k, s in zip(fine, q):
+        for g in own[k] & marks.hot:
+            at = total.setdefault(g, [0, 0.0])
+            at[0], at[1] = at[0] + 1, at[1] + s
+    out = []
+    for k in fine:
+        hot = sorted(own[k] & marks.hot)
+        mean, told = np.split(sum(total[g][1] / total[g][0] for g in hot) / len(hot), 2)
+        best, next_ = np.sort(mean)[::-1][:2]
+        if best >= least and best >= 2 * next_ and mean.argmax() == told.argmax():
+            out.append((int(mean.argmax()), parts[k], max(marks.toxic[g] for g in hot)))
     return out
 
 
-def fit(texts: list[str], seed: int = 5, weak: list[tuple[int, str]] = (), most: int = 24_000) -> dict:
+def by_words(texts: list[str], marks: Marks, per_form: int = 6, least: int = 6) -> np.ndarray:
+    """(texts, 3): log likelihoods of the words that the seeds have, by their share of the seed sentences of each category."""
+    rng, lex = np.random.default_rng(5), marks.lex
+    made = [[{lex.plain(w) for w in lex.words(fill(f, lang, rng))} for lang, fs in by.items() for f in fs for _ in range(per_form)] for by in (seeds.ABUSE, seeds.HATE, seeds.SEXUAL)]
+    n = [Counter(w for ws in x for w in ws) for x in made]
+    logs = {w: np.log([(c[w] + 0.5) / (len(x) + 1) for c, x in zip(n, made)]) for w in set().union(*n) if sum(c[w] for c in n) >= least and w not in marks.names}
+    return np.array([sum((logs[w] for w in {lex.plain(w) for w in lex.words(t)} if w in logs), np.zeros(3)) for t in texts]).reshape(-1, 3)
+
+
+def fit(texts: list[str], seed: int = 5, weak: list[tuple[int, str, int]] = (), marks: Marks | None = None, most: int = 24_000) -> dict:
     rng = np.random.default_rng(seed)
-    d = make(texts, rng, weak)
+    d = make(texts, rng, weak, marks)
     ids, y, w = d["ids"], d["y"], d["w"]
     p = init(len(d["known"]) + 2, rng)
     # words without an entry share the vector REST and differ by their letters
@@ -383,8 +472,11 @@ def fit(texts: list[str], seed: int = 5, weak: list[tuple[int, str]] = (), most:
     learn(p, ids[first], y[first], w[first], d["chars"], rng, epochs=4)
     p["word"][len(d["known"]) + 2 :] = p["word"][REST]
     q = scores(ids, p, d["chars"]).max(axis=1)
-    # windows that may be mislabelled: no more than a few labels are, so what many clean documents hold stays a negative
-    doubtful = text & (q > max(0.9, np.sort(q[text])[-min(int(text.sum()), 1 + int(NOISE * len(texts)))] if text.any() else 0.9))
+    if marks:
+        doubtful = np.isin(np.arange(len(ids)), d["suspect"])
+    else:
+        # windows that may be mislabelled: no more than a few labels are, so what many clean documents hold stays a negative
+        doubtful = text & (q > max(0.9, np.sort(q[text])[-min(int(text.sum()), 1 + int(NOISE * len(texts)))] if text.any() else 0.9))
     hard = np.flatnonzero(text & ~doubtful & (q > 0.05))
     second = np.concatenate([np.flatnonzero(~text), np.repeat(hard, 3), pick(np.flatnonzero(text & ~doubtful & bad), most // 3), pick(np.flatnonzero(text & ~doubtful & ~bad), most // 3)])
     learn(p, ids[second], y[second], w[second], d["chars"], rng, epochs=5, rate=0.003)
@@ -419,22 +511,31 @@ class Scorer:
         # a new word's input parts are the mean of those of its triples and a constant
         self.part = np.concatenate([p["char"] @ p["wf"], p["char"] @ p["wb"]], axis=1)
         self.rest = np.concatenate([p["word"][REST] @ p["wf"] + p["cf"], p["word"][REST] @ p["wb"] + p["cb"]])
+        self.triples, self.fresh = Triples(), []
 
     def number(self, w: str) -> int:
         x = self.lex.plain(w)
         i = self.ids.get(x)
         if i is None:
-            if self.n == len(self.tf):
-                self.tf, self.tb = np.concatenate([self.tf, np.empty_like(self.tf)]), np.concatenate([self.tb, np.empty_like(self.tb)])
-            t = triples(x)
-            e = self.part[t].sum(axis=0) / len(t) + self.rest
-            i = self.n
-            self.tf[i], self.tb[i] = e[: 3 * HIDDEN], e[3 * HIDDEN :]
+            i = self.ids[x] = self.n
             self.n += 1
-            self.ids[x] = i
+            self.fresh.append(x)
         self.ids[w] = i
         return i
 
+    def _fill(self) -> None:
+        """The input parts of the words numbered since the last call."""
+        if not self.fresh:
+            return
+        names = [f"^{x}$" for x in self.fresh]
+        size = np.array([max(1, len(x) - 2) for x in names])
+        flat = [self.triples[x[k : k + 3]] for x in names for k in range(max(1, len(x) - 2))]
+        e = np.add.reduceat(self.part[flat], np.r_[0, np.cumsum(size)[:-1]], axis=0) / size[:, None] + self.rest
+        while self.n > len(self.tf):
+            self.tf, self.tb = np.concatenate([self.tf, np.empty_like(self.tf)]), np.concatenate([self.tb, np.empty_like(self.tb)])
+        self.tf[self.n - len(e) : self.n], self.tb[self.n - len(e) : self.n] = e[:, : 3 * HIDDEN], e[:, 3 * HIDDEN :]
+        self.fresh = []
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         """(texts, 3): the strongest window of each; 0 for texts without words."""
         if len(self.ids) > 400_000:  # the words met are forgotten now and then
@@ -446,6 +547,7 @@ class Scorer:
             own = [get(w) or number(w) for w in self.lex.words(t)] if t else []
             nums += own
             size.append(len(own))
+        self._fill()
         size = np.array(size, dtype=np.int64)
         flat = np.r_[np.array(nums, dtype=np.int64), np.zeros(WIDTH, dtype=np.int64)]
         first = np.r_[0, np.cumsum(size)[:-1]]
