@@ -39,3 +39,31 @@ def test_descends_until_settled(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     want = {(a, int(b)) for a in range(len(x)) for b in np.argsort(-s[a])[:5]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_only_pairs_with_a_new_edge_are_compared():
+    # number 0 has 1 to 4 in its list, of which 4 is new; 5 holds 6 and 7 from before
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own, ids = np.array([0, 0, 0, 0, 5, 5]), np.array([1, 2, 3, 4, 6, 7])
+    a, b, _ = p5.local_join(own, ids, x, np.arange(8), 8, ids == 4)
+    assert {(int(i), int(j)) for i, j in zip(a, b)} == {(4, 1), (4, 2), (4, 3), (1, 4), (2, 4), (3, 4)}
+
+
+def test_descent_by_new_edges_gives_the_lists_of_the_whole_join(spark, monkeypatch):
+    monkeypatch.setattr(p5, "CELL", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8)) @ rng.normal(size=(8, 64))
+    df = spark.createDataFrame([(f"v{k:04d}", [float(z) for z in v]) for k, v in enumerate(x)], "eid string, embedding array<float>").coalesce(1)
+    join, seen = p5.local_join, []
+
+    def whole(own, ids, x, at, keep, fresh=None):
+        return join(own, ids, x, at, keep)
+
+    for way in (join, whole):
+        monkeypatch.setattr(p5, "local_join", way)
+        nodes, g, _ = p5.graph(df, "eid", "embedding", trees=1, rounds=3)
+        at = {r.nid: r.id for r in nodes.select("nid", "id").collect()}
+        seen.append({at[r.nid]: {at[j] for j in np.frombuffer(r.ids, dtype=np.int64).tolist()} for r in g.collect()})
+    assert seen[0] == seen[1]

@@ -5,7 +5,8 @@ few random-projection trees, fitted on a bounded sample of at most ``SAMPLE`` ve
 vector goes to one cell of each tree, and inside a cell finer random trees and exact comparison in their leaves give
 every vector a first list of K neighbours. Then NN-descent: each round joins every vector's list with the vectors of its
 neighbours, compares all neighbours of a vector with one another and merges what is found into the lists, until at most
-``settle`` of the lists change. The number of a vector holds its cell in the first tree, so a round works cell by cell: it
+``settle`` of the lists change. Two neighbours that both stood in the list the round before have been compared, so a round
+compares only pairs with a new one, and fetches vectors only for lists that have gained one. The number of a vector holds its cell in the first tree, so a round works cell by cell: it
 fetches only the vectors that lie in other cells, and each of them once per cell.
 
 ``search`` answers further queries by greedy search over the finished graph.
@@ -189,21 +190,28 @@ def leaf_neighbours(x: np.ndarray, keep: int, inner: int, leaf: int, rng: np.ran
     return merge(*(np.concatenate(c) for c in zip(*out)), keep)
 
 
-def local_join(own: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def local_join(own: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray, keep: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compare all neighbours of a vector, in both directions, with one another: new edges own -> ids.
 
-    x holds the vectors whose sorted numbers are ``at``; edges to numbers not in ``at`` are left out.
+    x holds the vectors whose sorted numbers are ``at``; edges to numbers not in ``at`` are left out. If ``fresh`` says which
+    edges are new, pairs of two old ones are left out, as they have been compared before.
     """
+    fresh = np.ones(len(own), dtype=bool) if fresh is None else fresh
     u, v = np.searchsorted(at, own), np.searchsorted(at, ids)
     fine = (v < len(at)) & (at[np.minimum(v, len(at) - 1)] == ids)
-    u, v = u[fine], v[fine]
-    hub, leg = np.concatenate([u, v]), np.concatenate([v, u])
-    o = np.lexsort((leg, hub))
-    hub, leg = hub[o], leg[o]
+    u, v, fresh = u[fine], v[fine], fresh[fine]
+    hub, leg, new = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([fresh, fresh])
+    # hubs without a new edge have nothing to compare
+    busy = np.zeros(len(at), dtype=bool)
+    busy[hub[new]] = True
+    hub, leg, new = hub[busy[hub]], leg[busy[hub]], new[busy[hub]]
+    # of two edges between the same vectors the old one comes first: the pairs of the leg have been compared
+    o = np.lexsort((new, leg, hub))
+    hub, leg, new = hub[o], leg[o], new[o]
     # two vectors that are in each other's lists are legs of one another once
     once = np.ones(len(hub), dtype=bool)
     once[1:] = (hub[1:] != hub[:-1]) | (leg[1:] != leg[:-1])
-    hub, leg = hub[once], leg[once]
+    hub, leg, new = hub[once], leg[once], new[once]
     first = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]]) if len(hub) else np.empty(0, dtype=int)
     size = np.diff(np.r_[first, len(hub)])
     # a vector that is in very many lists: of every one of them the best of all the others, block by block
@@ -226,7 +234,9 @@ def local_join(own: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray,
         if n > 1:
             block = leg[first[size == n][:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
-            a, b = block[:, i].ravel(), block[:, j].ravel()
+            mark = new[first[size == n][:, None] + np.arange(n)]
+            either = (mark[:, i] | mark[:, j]).ravel()
+            a, b = block[:, i].ravel()[either], block[:, j].ravel()[either]
             pairs.append(np.minimum(a, b) * len(at) + np.maximum(a, b))
     key = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
     known = np.unique(np.minimum(u, v) * len(at) + np.maximum(u, v))
@@ -307,14 +317,16 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
         edges = _edges(t)
         top = merge(*edges, keep)
         known = set(zip(edges[0][old].tolist(), edges[1][old].tolist()))
-        gained = {a for a, b in zip(top[0].tolist(), top[1].tolist()) if (a, b) not in known}
+        fresh = np.array([(a, b) not in known for a, b in zip(top[0].tolist(), top[1].tolist())], dtype=np.uint8)
         lists = _lists(*top)
-        return lists.append_column("moved", pa.array([a in gained for a in lists["nid"].to_pylist()], pa.bool_()))
+        ends = np.cumsum(_items(lists["ids"], np.int64)[1])
+        gained = np.add.reduceat(fresh, np.r_[0, ends[:-1]], dtype=np.int64) > 0 if len(ends) else np.empty(0, dtype=bool)
+        return lists.append_column("fresh", _blobs(fresh, ends)).append_column("moved", pa.array(gained, pa.bool_()))
 
     cell = F.shiftrightunsigned("nid", 48)
     cells = max(1, n // CELL)
     lists = by_cell(nodes.select("nid", "code").mapInArrow(spread, "cell bigint, nid bigint, code binary"), "cell", first, trees * cells)
-    g = materialize(by_cell(lists.withColumn("c", cell), "c", merged, cells), "p5g")
+    g = materialize(by_cell(lists.withColumn("c", cell), "c", merged, cells).withColumn("fresh", F.lit(None).cast("binary")).withColumn("moved", F.lit(True)), "p5g")
     total = max(1, g.count())
     _sweep(spark)
 
@@ -330,11 +342,13 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
     def descend(t: pa.Table) -> pa.Table:
         """Rows of one cell: its vectors (kind 0), fetched ones (1) and its lists (2). Gives lists of new edges."""
         kind = np.asarray(t["kind"])
-        have, own = t.filter(pa.array(kind < 2)).select(["nid", "code"]).combine_chunks(), t.filter(pa.array(kind == 2)).select(["nid", "ids", "sims"]).combine_chunks()
+        have, own = t.filter(pa.array(kind < 2)).select(["nid", "code"]).combine_chunks(), t.filter(pa.array(kind == 2)).select(["nid", "ids", "sims", "fresh"]).combine_chunks()
         at = np.asarray(have["nid"])
         o = np.argsort(at, kind="stable")
         x, at = _floats(have["code"], dim)[o] if len(at) else np.zeros((0, dim), np.float32), at[o]
-        a, b, s = local_join(*_edges(own)[:2], x, at, keep)
+        # in the first round all edges are new
+        fresh = None if own["fresh"].null_count else _items(own["fresh"], np.uint8)[0] > 0
+        a, b, s = local_join(*_edges(own)[:2], x, at, keep, fresh)
         # what is no better than the last of a full list is of no use to it, be the vector of this cell or a fetched one
         far = t.filter(pa.array(kind == 1))
         mine, worst = (np.concatenate(x) for x in zip(_last(own, keep), (np.asarray(far["nid"]), np.asarray(far["worst"], dtype=np.float32))))
@@ -346,17 +360,17 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
     done = 0
     while rounds is None or done < rounds:
         done += 1
-        last = g.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(w, pa.float32())], ["nid", "worst"]) for n, w in (_last(b, keep) for b in bs)), "nid bigint, worst float")
-        fetch = g.mapInArrow(outside, "c bigint, nid bigint").distinct().join(nodes.select("nid", "code"), "nid").join(last, "nid", "left").fillna(-2.0, ["worst"])
+        last = g.select("nid", "ids", "sims").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(w, pa.float32())], ["nid", "worst"]) for n, w in (_last(b, keep) for b in bs)), "nid bigint, worst float")
+        fetch = g.where("moved").select("nid", "ids", "sims").mapInArrow(outside, "c bigint, nid bigint").distinct().join(nodes.select("nid", "code"), "nid").join(last, "nid", "left").fillna(-2.0, ["worst"])
         none, no = F.lit(None).cast("binary"), F.lit(None).cast("float").alias("worst")
         rows = (
-            nodes.select(cell.alias("c"), "nid", F.lit(0).alias("kind"), "code", none.alias("ids"), none.alias("sims"), no)
-            .unionByName(fetch.select("c", "nid", F.lit(1).alias("kind"), "code", none.alias("ids"), none.alias("sims"), "worst"))
-            .unionByName(g.select(cell.alias("c"), "nid", F.lit(2).alias("kind"), none.alias("code"), "ids", "sims", no))
+            nodes.select(cell.alias("c"), "nid", F.lit(0).alias("kind"), "code", none.alias("ids"), none.alias("sims"), none.alias("fresh"), no)
+            .unionByName(fetch.select("c", "nid", F.lit(1).alias("kind"), "code", none.alias("ids"), none.alias("sims"), none.alias("fresh"), "worst"))
+            .unionByName(g.select(cell.alias("c"), "nid", F.lit(2).alias("kind"), none.alias("code"), "ids", "sims", "fresh", no))
         )
         new = materialize(by_cell(rows, "c", descend, cells), "p5u")
         both = g.select("nid", "ids", "sims", F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False)))
-        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", moved boolean"), "p5g")
+        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", fresh binary, moved boolean"), "p5g")
         changed = after.where("moved").count()
         release(g)
         release(new)
