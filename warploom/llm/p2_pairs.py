@@ -524,34 +524,42 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def words(table: DataFrame) -> tuple[dict[str, bool], dict[str, tuple[int, int]]]:
-    """The frequent words and whether they are mostly capitalised; and how often words end an answer, of how often they occur. Counted in all records."""
+    """The frequent words and whether they are mostly capitalised; and how often words end an answer, of how often they occur. Counted in all records.
+
+    Where a text has capitals, a word in small letters is no name; such words are known from a few texts on, as texts
+    without capitals hold them too and don't tell.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, n = Fold(), {}
         for row in _rows(batches):
             pairs = _pairs(row)
             texts = {t for t in (row[2], *(a for _, a, _, _ in pairs)) if t}
-            n.setdefault("", [0, 0, 0, 0])[0] += len(texts)
+            n.setdefault("", [0] * 5)[0] += len(texts)
             for t in texts:
-                for x in set(re.findall(r"[^\W_]+", t)):
-                    at = n.setdefault(x.translate(fold), [0, 0, 0, 0])
+                found = re.findall(r"[^\W_]+", t)
+                # the last word may be a part of one
+                small = {x for x in found[:-1] if x[:1].islower()} if any(c.isupper() for c in t) else ()
+                for x in set(found):
+                    at = n.setdefault(x.translate(fold), [0] * 5)
                     at[0] += 1
                     at[1] += x[:1].isupper()
+                    at[4] += x in small
             for _, a, _, _ in pairs:
                 ws = [x for x in tokens(_TAG.sub(" ", a or ""), fold) if x[0].isalnum()]
                 for x in ws:
-                    n.setdefault(x, [0, 0, 0, 0])[2] += 1
+                    n.setdefault(x, [0] * 5)[2] += 1
                 for x in ws[-1:]:
                     n[x][3] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in range(4))], ["w", *"nuaf"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([v[i] for v in n.values()], pa.int64()) for i in range(5))], ["w", *"nuafs"])
 
-    n = materialize(table.mapInArrow(count, "w string, n bigint, u bigint, a bigint, f bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in "nuaf")), "p2w")
+    n = materialize(table.mapInArrow(count, "w string, n bigint, u bigint, a bigint, f bigint, s bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in "nuafs")), "p2w")
     texts = sum(r.n for r in n.where("w = ''").collect())
     # all bounds are shares of the texts, so there are as many frequent words in large tables as in small ones
-    least, low, often = max(3, texts // 600), max(4, texts // 2_250), max(5, texts // 2_500)
-    got = n.where(f"w <> '' and (n >= {low} or n >= {least} or a >= {often})").collect()
+    least, low, small, often = max(3, texts // 600), max(4, texts // 2_250), max(2, texts // 50_000), max(5, texts // 2_500)
+    got = n.where(f"w <> '' and (n >= {low} or n >= {least} or a >= {often} or (s >= {small} and u < 0.2 * n))").collect()
     release(n)
-    vocab = {r.w: r.u > 0.7 * r.n for r in got if not r.w.isdigit() and (r.n >= least or (r.n >= low and r.u < 0.2 * r.n))}
+    vocab = {r.w: r.u > 0.7 * r.n for r in got if not r.w.isdigit() and (r.n >= least or ((r.n >= low or r.s >= small) and r.u < 0.2 * r.n))}
     # words of refusals and function words must stand for themselves even if the tables lack them
     fold = Fold()
     for g in REFUSE.values():
