@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textfold import Squeeze, edit_distance
+from .textfold import Squeeze, edit_distance  # noqa: F401
 
 MIN_WORDS = 15
 #: Pairs and words that more items than this have prove nothing by themselves; a run of so many words does, whoever has it:
@@ -62,8 +62,8 @@ class ItemIndex:
             for m in range(2, RUN + 1):
                 for k in range(len(w) - m + 1):
                     has["".join(w[k : k + m])].add(i)
-        #: Where a pattern is in items: item, and of each of its pairs (a longer run is so many pairs) the offset in the pattern, the word, and the length.
-        at: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)
+        #: Where a pattern is in items: item, first and last word of its pairs (a longer run is so many pairs), and of each the offset in the pattern, the word, and the length.
+        at: dict[str, list[tuple[int, int, int, list[tuple[int, int, int]]]]] = defaultdict(list)
         for i, w in self.words.items():
             for k in range(len(w) - 1):
                 for m in range(2, min_words + 1):
@@ -72,7 +72,7 @@ class ItemIndex:
                         break
                 if k + m <= len(w) and len(p) >= 9:
                     start = self.start[i]
-                    at[p] += [(i, start[j] - start[k], j, start[j + 2] - start[j]) for j in range(k, k + m - 1)]
+                    at[p].append((i, k, k + m - 2, [(start[j] - start[k], j, start[j + 2] - start[j]) for j in range(k, k + m - 1)]))
         self.auto = ahocorasick.Automaton()
         for p, where in at.items():
             self.auto.add_word(p, (len(p), where))
@@ -84,22 +84,33 @@ class ItemIndex:
         if not text or not len(self.auto):
             return []
         flat = text.translate(self.fold)
-        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        # of each item the first and the last word hit, and the hits
+        by: dict[int, list] = {}
         for end, (n, where) in self.auto.iter(flat):
             begin = end + 1 - n
-            for i, offset, j, size in where:
-                by[i].append((begin + offset, j, size))
-        found = []
-        for i, own in by.items():
-            ks = {k for _, k, _ in own}
+            for i, first, last, pairs in where:
+                got = by.get(i)
+                if got is None:
+                    by[i] = [first, last, begin, pairs]
+                else:
+                    if first < got[0]:
+                        got[0] = first
+                    if last > got[1]:
+                        got[1] = last
+                    got += (begin, pairs)
+        found, shortest = [], self.min_words // 3
+        for i, got in by.items():
             # no run reaches from before the first hit's word to beyond the last one's, and _chain drops runs of less than a third
-            if len(ks) < self.needed or max(ks) + 2 - min(ks) < self.min_words // 3:
+            if got[1] + 2 - got[0] < shortest:
                 continue
-            best = self._chain(i, set(own), flat)
+            own = {(begin + offset, j, size) for begin, pairs in zip(got[2::2], got[3::2]) for offset, j, size in pairs}
+            if len({k for _, k, _ in own}) < self.needed:
+                continue
+            best = self._chain(i, own, flat)
             if best[0] >= self.min_words:
                 found += [(same, *best) for same in self.ids[i]]
         if found:
-            back = [p for p, c in enumerate(text) for _ in c.translate(self.fold)]
+            back = [p for p, c in enumerate(text) for _ in self.fold[ord(c)]]
             found = [(i, n, back[a], back[b - 1] + 1) for i, n, a, b in found]
         return sorted(found)
 
@@ -154,7 +165,30 @@ def _alike(a: str, b: str) -> bool:
         k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
         if b.endswith(a[k:]):
             return True
-    return n <= 160 and edit_distance(a, b, int(0.4 * n)) <= 0.4 * n
+    return n <= 160 and abs(len(a) - len(b)) <= 0.4 * n and _distance(a, b) <= 0.4 * n
+
+
+def _distance(a: str, b: str) -> int:
+    """Levenshtein distance by Myers' bit vectors: a column of the table as one number, a bit for each letter of a."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, d = full, 0, len(a)
+    for y in b:
+        eq = at.get(y, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        if more & top:
+            d += 1
+        elif less & top:
+            d -= 1
+        more = more << 1 | 1
+        up, down = full & (less << 1 | ~(x | more)), more & x & full
+    return d
 
 
 def _next(item: str, ends: list[int], flat: str) -> tuple[int, int] | None:
@@ -166,12 +200,25 @@ def _next(item: str, ends: list[int], flat: str) -> tuple[int, int] | None:
         if (k and len(w) > 60) or len(w) < 4:
             continue
         slack = max(1, len(w) // 5)
+        if not _near(w, flat, slack):
+            continue
         cost, m = _prefix(w, flat[: len(w) + slack], slack)
         if cost <= slack:
             return k + 1, m
     return None
 
 
+def _near(w: str, flat: str, most: int) -> bool:
+    """False only if w is more than ``most`` edits from every prefix of flat: of most + 1 parts of w, one would have to stand in flat as it is, moved by at most as much."""
+    n, a = len(w), 0
+    for k in range(1, most + 2):
+        b = k * n // (most + 1)
+        if flat.find(w[a:b], a - most if a > most else 0, b + most) >= 0:
+            return True
+        a = b
+    return False
+
+
 def _prefix(w: str, flat: str, most: int) -> tuple[int, int]:
     """Smallest edit distance of w to a prefix of flat, and that prefix's length; (most + 1, 0) if it is larger."""
     row = list(range(len(flat) + 1))
