@@ -30,6 +30,8 @@ from ..session import materialize, release, small_side
 SAMPLE, CELL, LEAF = 20_000, 2_000, 192
 #: Trees across the cluster, finer trees inside each cell, neighbours kept per vector.
 TREES, INNER, KEEP = 3, 3, 8
+#: Where only near neighbours are asked for: of the lists that have one, how many may still gain one, and rounds made in any case.
+NEAR_SETTLE, LOOK = 0.002, 3
 #: For searches: neighbours kept per vector in the graph, and nodes a query holds on to.
 WIDE, BEAM = 12, 160
 SCALE = 32767.0
@@ -254,11 +256,12 @@ def _sweep(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = KEEP, trees: int = TREES, rounds: int | None = None, settle: float = 0.02, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = KEEP, trees: int = TREES, rounds: int | None = None, settle: float = 0.02, seed: int = 7, least: float = -2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, graph, copies) of the vectors that take part.
 
     nodes(nid, id, code): one row per different vector, ``id`` the smallest of its ids. graph(nid, ids, sims): its
-    nearest different vectors, best first; ``rounds`` ends the descent before it has settled. copies(id, rep): the ids with an equal vector of a smaller id. Null ids,
+    nearest different vectors, best first; ``rounds`` ends the descent before it has settled. If only neighbours of at
+    least ``least`` are asked for, it has also settled when at most ``NEAR_SETTLE`` of the lists that have such a neighbour gain one. copies(id, rep): the ids with an equal vector of a smaller id. Null ids,
     null, all-zero, non-finite vectors and those of another length take no part; repeated rows count once.
     """
     spark = df.sparkSession
@@ -320,14 +323,14 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
         fresh = np.array([(a, b) not in known for a, b in zip(top[0].tolist(), top[1].tolist())], dtype=np.uint8)
         lists = _lists(*top)
         ends = np.cumsum(_items(lists["ids"], np.int64)[1])
-        gained = np.add.reduceat(fresh, np.r_[0, ends[:-1]], dtype=np.int64) > 0 if len(ends) else np.empty(0, dtype=bool)
-        return lists.append_column("fresh", _blobs(fresh, ends)).append_column("moved", pa.array(gained, pa.bool_()))
+        near = (top[2] >= least).astype(np.uint8)
+        some = [np.add.reduceat(x, np.r_[0, ends[:-1]], dtype=np.int64) > 0 if len(ends) else np.empty(0, dtype=bool) for x in (fresh, near, fresh & near)]
+        return lists.append_column("fresh", _blobs(fresh, ends)).append_column("moved", pa.array(some[0], pa.bool_())).append_column("near", pa.array(some[1], pa.bool_())).append_column("nearer", pa.array(some[2], pa.bool_()))
 
     cell = F.shiftrightunsigned("nid", 48)
     cells = max(1, n // CELL)
     lists = by_cell(nodes.select("nid", "code").mapInArrow(spread, "cell bigint, nid bigint, code binary"), "cell", first, trees * cells)
     g = materialize(by_cell(lists.withColumn("c", cell), "c", merged, cells).withColumn("fresh", F.lit(None).cast("binary")).withColumn("moved", F.lit(True)), "p5g")
-    total = max(1, g.count())
     _sweep(spark)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,13 +373,13 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
         )
         new = materialize(by_cell(rows, "c", descend, cells), "p5u")
         both = g.select("nid", "ids", "sims", F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False)))
-        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", fresh binary, moved boolean"), "p5g")
-        changed = after.where("moved").count()
+        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", fresh binary, moved boolean, near boolean, nearer boolean"), "p5g")
+        changed, lists, nearer, near = after.agg(F.count_if("moved"), F.count("*"), F.count_if("nearer"), F.count_if("near")).first()
         release(g)
         release(new)
         g, fetch, rows, both = after, None, None, None
         _sweep(spark)
-        if changed <= settle * total:
+        if changed <= settle * lists or (least > -1 and done >= LOOK and nearer <= NEAR_SETTLE * near):
             break
     lists = g.select("nid", "ids", "sims")
     lists._warploom_path = g._warploom_path
@@ -388,7 +391,7 @@ def near_pairs(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least: floa
 
     Among equally similar vectors those of the smallest ids come first. Equal vectors have cosine 1.
     """
-    nodes, g, copies = graph(df, id_col, vec_col, keep=max(KEEP, k + 1), **options)
+    nodes, g, copies = graph(df, id_col, vec_col, keep=max(KEEP, k + 1), **{"least": least - 1e-5} | options)
     names = nodes.select("nid", "id")
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
