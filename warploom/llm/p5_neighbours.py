@@ -9,6 +9,9 @@ neighbours, compares all neighbours of a vector with one another and merges what
 compares only pairs with a new one, and fetches vectors only for lists that have gained one. The number of a vector holds its cell in the first tree, so a round works cell by cell: it
 fetches only the vectors that lie in other cells, and each of them once per cell.
 
+Where only near neighbours are asked for, lists hold no others: every two vectors of a cell are compared in each of more
+trees, and vectors that are near to none so far take no part in the rounds.
+
 ``search`` answers further queries by greedy search over the finished graph.
 """
 
@@ -30,7 +33,9 @@ from ..session import materialize, release, small_side
 SAMPLE, CELL, LEAF = 20_000, 2_000, 192
 #: Trees across the cluster, finer trees inside each cell, neighbours kept per vector.
 TREES, INNER, KEEP = 3, 3, 8
-#: Where only near neighbours are asked for: of the lists that have one, how many may still gain one, and rounds made in any case.
+#: Where only near neighbours are asked for: trees across the cluster, vectors in which every two are compared and cells of them per task.
+NEAR_TREES, WHOLE, NEAR_CELLS_PER_TASK = 6, 4_000, 32
+#: There too: of the lists that have one, how many may still gain one, and rounds made unless none does.
 NEAR_SETTLE, LOOK = 0.002, 3
 #: For searches: neighbours kept per vector in the graph, and nodes a query holds on to.
 WIDE, BEAM = 12, 160
@@ -153,7 +158,7 @@ def _last(t, keep: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(t["nid"]), np.where(size >= keep, np.r_[values, np.float32(-2)][np.cumsum(size) - 1], np.float32(-2)).astype(np.float32)
 
 
-def by_cell(df: DataFrame, cell: str, run, cells: int, schema: str = LISTS) -> DataFrame:
+def by_cell(df: DataFrame, cell: str, run, cells: int, schema: str = LISTS, per_task: int = CELLS_PER_TASK) -> DataFrame:
     """Apply run to the rows of each cell as an Arrow table, several cells to a task; no sorting in the JVM."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +173,7 @@ def by_cell(df: DataFrame, cell: str, run, cells: int, schema: str = LISTS) -> D
         for x, y in zip(np.r_[0, cut], np.r_[cut, len(c)]):
             yield from run(t.slice(x, y - x)).to_batches()
 
-    tasks = max(-(-cells // CELLS_PER_TASK), min(cells, df.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(-(-cells // per_task), min(cells, df.sparkSession.sparkContext.defaultParallelism))
     return df.repartition(max(1, tasks), cell).mapInArrow(part, schema)
 
 
@@ -192,6 +197,28 @@ def leaf_neighbours(x: np.ndarray, keep: int, inner: int, leaf: int, rng: np.ran
     return merge(*(np.concatenate(c) for c in zip(*out)), keep)
 
 
+def near_neighbours(x: np.ndarray, keep: int, least: float, rng: np.random.Generator, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of at least ``least`` between rows of x, the ``keep`` best of each: all are compared, or those in the leaves of several random trees if there are more than ``whole``."""
+    out = []
+    for _ in range(INNER if len(x) > whole else 1):
+        at = leaf_of(grow(x, whole, rng), x)
+        order = np.argsort(at, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            y, n = x[rows], len(rows)
+            step = max(1, (1 << 20) // max(n, 1))
+            for part in range(0, n, step):
+                s = y[part : part + step] @ y.T
+                s[np.arange(len(s)), part + np.arange(len(s))] = -2
+                hit = np.flatnonzero(s.ravel() >= least)
+                mine = hit // max(n, 1)
+                many = np.flatnonzero(np.bincount(mine, minlength=len(s)) > 4 * keep)
+                if len(many):  # among very many the best are picked row by row
+                    best = np.argpartition(-s[many], keep - 1, axis=1)[:, :keep]
+                    hit = np.concatenate([hit[~np.isin(mine, many)], (many[:, None] * n + best).ravel()])
+                out.append((rows[part + hit // max(n, 1)], rows[hit % max(n, 1)], s.ravel()[hit]))
+    return merge(*(np.concatenate(c) for c in zip(*out)), keep) if out else (np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0, dtype=np.float32))
+
+
 def local_join(own: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray, keep: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compare all neighbours of a vector, in both directions, with one another: new edges own -> ids.
 
@@ -256,15 +283,17 @@ def _sweep(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = KEEP, trees: int = TREES, rounds: int | None = None, settle: float = 0.02, seed: int = 7, least: float = -2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = KEEP, trees: int | None = None, rounds: int | None = None, settle: float = 0.02, seed: int = 7, least: float = -2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, graph, copies) of the vectors that take part.
 
     nodes(nid, id, code): one row per different vector, ``id`` the smallest of its ids. graph(nid, ids, sims): its
     nearest different vectors, best first; ``rounds`` ends the descent before it has settled. If only neighbours of at
-    least ``least`` are asked for, it has also settled when at most ``NEAR_SETTLE`` of the lists that have such a neighbour gain one. copies(id, rep): the ids with an equal vector of a smaller id. Null ids,
-    null, all-zero, non-finite vectors and those of another length take no part; repeated rows count once.
+    least ``least`` are asked for, lists hold no others, and it has settled when none gains one, or when at most
+    ``NEAR_SETTLE`` of them do after ``LOOK`` rounds. copies(id, rep): the ids with an equal vector of a smaller id. Null ids, null, all-zero, non-finite vectors and those of another length take no part; repeated rows count once.
     """
     spark = df.sparkSession
+    near = least > -1
+    trees = trees or (NEAR_TREES if near else TREES)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,7 +337,8 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
 
     def first(t: pa.Table) -> pa.Table:
         nid = np.asarray(t["nid"])
-        a, b, s = leaf_neighbours(_floats(t["code"], dim), keep, INNER, LEAF, np.random.default_rng(seed))
+        x, rng = _floats(t["code"], dim), np.random.default_rng(seed)
+        a, b, s = near_neighbours(x, keep, least, rng) if near else leaf_neighbours(x, keep, INNER, LEAF, rng)
         return _lists(nid[a], nid[b], s)
 
     def merged(t: pa.Table) -> pa.Table:
@@ -323,14 +353,15 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
         fresh = np.array([(a, b) not in known for a, b in zip(top[0].tolist(), top[1].tolist())], dtype=np.uint8)
         lists = _lists(*top)
         ends = np.cumsum(_items(lists["ids"], np.int64)[1])
-        near = (top[2] >= least).astype(np.uint8)
-        some = [np.add.reduceat(x, np.r_[0, ends[:-1]], dtype=np.int64) > 0 if len(ends) else np.empty(0, dtype=bool) for x in (fresh, near, fresh & near)]
-        return lists.append_column("fresh", _blobs(fresh, ends)).append_column("moved", pa.array(some[0], pa.bool_())).append_column("near", pa.array(some[1], pa.bool_())).append_column("nearer", pa.array(some[2], pa.bool_()))
+        moved = np.add.reduceat(fresh, np.r_[0, ends[:-1]], dtype=np.int64) > 0 if len(ends) else np.empty(0, dtype=bool)
+        return lists.append_column("fresh", _blobs(fresh, ends)).append_column("moved", pa.array(moved, pa.bool_()))
 
     cell = F.shiftrightunsigned("nid", 48)
     cells = max(1, n // CELL)
-    lists = by_cell(nodes.select("nid", "code").mapInArrow(spread, "cell bigint, nid bigint, code binary"), "cell", first, trees * cells)
+    lists = by_cell(nodes.select("nid", "code").mapInArrow(spread, "cell bigint, nid bigint, code binary"), "cell", first, trees * cells, per_task=NEAR_CELLS_PER_TASK if near else CELLS_PER_TASK)
     g = materialize(by_cell(lists.withColumn("c", cell), "c", merged, cells).withColumn("fresh", F.lit(None).cast("binary")).withColumn("moved", F.lit(True)), "p5g")
+    # who is near to someone has a list of its own
+    met = materialize(nodes.select("nid", "code").join(g.select("nid"), "nid", "left_semi"), "p5k") if near else nodes
     _sweep(spark)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,29 +389,32 @@ def graph(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, keep: int = K
         o = np.argsort(mine)
         p = np.minimum(np.searchsorted(mine[o], a), max(len(mine) - 1, 0))
         better = np.ones(len(a), dtype=bool) if not len(mine) else (mine[o][p] != a) | (s > worst[o][p])
+        better &= s >= least
         return _lists(a[better], b[better], s[better])
 
     done = 0
     while rounds is None or done < rounds:
         done += 1
         last = g.select("nid", "ids", "sims").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(w, pa.float32())], ["nid", "worst"]) for n, w in (_last(b, keep) for b in bs)), "nid bigint, worst float")
-        fetch = g.where("moved").select("nid", "ids", "sims").mapInArrow(outside, "c bigint, nid bigint").distinct().join(nodes.select("nid", "code"), "nid").join(last, "nid", "left").fillna(-2.0, ["worst"])
+        fetch = g.where("moved").select("nid", "ids", "sims").mapInArrow(outside, "c bigint, nid bigint").distinct().join(met.select("nid", "code"), "nid").join(last, "nid", "left").fillna(-2.0, ["worst"])
         none, no = F.lit(None).cast("binary"), F.lit(None).cast("float").alias("worst")
         rows = (
-            nodes.select(cell.alias("c"), "nid", F.lit(0).alias("kind"), "code", none.alias("ids"), none.alias("sims"), none.alias("fresh"), no)
+            met.select(cell.alias("c"), "nid", F.lit(0).alias("kind"), "code", none.alias("ids"), none.alias("sims"), none.alias("fresh"), no)
             .unionByName(fetch.select("c", "nid", F.lit(1).alias("kind"), "code", none.alias("ids"), none.alias("sims"), none.alias("fresh"), "worst"))
             .unionByName(g.select(cell.alias("c"), "nid", F.lit(2).alias("kind"), none.alias("code"), "ids", "sims", "fresh", no))
         )
         new = materialize(by_cell(rows, "c", descend, cells), "p5u")
         both = g.select("nid", "ids", "sims", F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False)))
-        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", fresh binary, moved boolean, near boolean, nearer boolean"), "p5g")
-        changed, lists, nearer, near = after.agg(F.count_if("moved"), F.count("*"), F.count_if("nearer"), F.count_if("near")).first()
+        after = materialize(by_cell(both.withColumn("c", cell), "c", renewed, cells, LISTS + ", fresh binary, moved boolean"), "p5g")
+        changed, lists = after.agg(F.count_if("moved"), F.count("*")).first()
         release(g)
         release(new)
         g, fetch, rows, both = after, None, None, None
         _sweep(spark)
-        if changed <= settle * lists or (least > -1 and done >= LOOK and nearer <= NEAR_SETTLE * near):
+        if changed <= (min(settle, 0) if near else settle) * lists or (near and done >= LOOK and changed <= NEAR_SETTLE * lists):
             break
+    if near:
+        release(met)
     lists = g.select("nid", "ids", "sims")
     lists._warploom_path = g._warploom_path
     return nodes, lists, copies
